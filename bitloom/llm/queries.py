@@ -1,6 +1,6 @@
 """Queries of this subpackage, one ``opN_<name>`` for each operator, and their SQL."""
 
-from . import language, packing, pieces
+from . import language, packing, pieces, pii, secrets
 
 
 def _pipeline(spark, sf_dir):
@@ -12,7 +12,9 @@ def _pipeline(spark, sf_dir):
 def queries() -> dict:
     return {
         "op1_pieces": pieces.query,
+        "op2_secrets": secrets.query,
         "op3_language": language.query,
+        "op5_pii": pii.query,
         "op10_packing": packing.query,
     }
 
