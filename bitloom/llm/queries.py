@@ -1,6 +1,6 @@
 """Queries of this subpackage, one ``opN_<name>`` for each operator, and their SQL."""
 
-from . import language, packing, pieces, pii, secrets
+from . import language, minhash, neardup, packing, pieces, pii, search, secrets
 
 
 def _pipeline(spark, sf_dir):
@@ -14,7 +14,10 @@ def queries() -> dict:
         "op1_pieces": pieces.query,
         "op2_secrets": secrets.query,
         "op3_language": language.query,
+        "op4_neardup": neardup.query,
         "op5_pii": pii.query,
+        "op7_minhash": minhash.query,
+        "op9_search": search.query,
         "op10_packing": packing.query,
     }
 
