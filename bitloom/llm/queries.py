@@ -1,6 +1,6 @@
 """Queries of this subpackage, one ``opN_<name>`` for each operator, and their SQL."""
 
-from . import counts, language, minhash, neardup, packing, pieces, pii, search, secrets
+from . import counts, language, minhash, neardup, packing, pieces, pii, search, secrets, suffixes
 
 
 def _pipeline(spark, sf_dir):
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op5_pii": pii.query,
         "op6_counts": counts.query,
         "op7_minhash": minhash.query,
+        "op8_suffixes": suffixes.query,
         "op9_search": search.query,
         "op10_packing": packing.query,
     }
