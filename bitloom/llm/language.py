@@ -200,6 +200,23 @@ def identify(df: DataFrame, model: ByteNetwork | None, id_col: str = "doc_id", t
     return src.mapInArrow(run, schema)
 
 
+def accepted(df: DataFrame, model: ByteNetwork | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is identified with a probability of at least ``least``.
+
+    Null texts and texts without a letter go; without a model (no labelled rows) every text with a letter stays.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        tables = model.tables() if model else None
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            got = model.predict(texts, tables) if model else [(None, 1.0) if t is not None and has_letter(t) else (UNKNOWN, 0.0) for t in texts]
+            yield batch.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
     return identify(documents, fit(documents))

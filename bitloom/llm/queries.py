@@ -21,6 +21,7 @@ def queries() -> dict:
         "op8_suffixes": suffixes.query,
         "op9_search": search.query,
         "op10_packing": packing.query,
+        "pipeline": _pipeline,
     }
 
 

@@ -62,30 +62,39 @@ def live_looking(value: Column) -> Column:
     return (F.length(value) >= 12) & (distinct >= F.least(F.lit(8), F.length(value))) & ~value.rlike(PLACEHOLDER)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = 3, salts: int = 16) -> DataFrame:
-    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, and counts by verdict.
-
-    ``spans`` holds kind:start:end by start, then kind; ``base_sha256`` digests the base ones. Verdicts:
-    ``n_copied`` values have at least ``copied_owners`` owners, ``n_owned`` have one owner, ``n_live`` of these
-    look random. Null texts count as empty, null owners or repositories as one nameless owner or repository;
-    repeated rows stay apart; extra columns are ignored. Frequencies are aggregated map-side first, and the
-    join that brings them back is salted, so a value in a third of all rows is spread over ``salts`` keys and
-    may be split further.
-    """
+def _found(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
+    """rid, id, owner, repo and the candidates of every row, with hashes in the place of values."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), candidates(text).alias("found"))
     slim = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("h"), F.crc32(s["value"].cast("binary")).alias("c"), live_looking(s["value"]).alias("live")))
-    found = cut(found.withColumn("found", slim))
+    return cut(found.withColumn("found", slim))
+
 
+def _judged(found: DataFrame, salts: int) -> DataFrame:
+    """rid, id, all: the spans of rows that have candidates, sorted, with their values' owners and repositories.
+
+    Generic spans stay only if one owner alone has the value.
+    """
     each = found.where(F.size("found") > 0).select("rid", "id", "owner", "repo", F.explode("found").alias("s")).select("rid", "id", "owner", "repo", "s.*")
     by_owner = each.select("h", "c", "owner", "repo").distinct().groupBy("h", "c", "owner").agg(F.count(F.lit(1)).alias("repos"))
     frequency = by_owner.groupBy("h", "c").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
     salted = frequency.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     judged = each.drop("owner", "repo").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int")).join(salted, ["h", "c", "salt"])
-    one = F.struct("start", "kind", "end", "owners", "repos", "live")
-    per_row = judged.groupBy("rid", "id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    per_row = judged.groupBy("rid", "id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repos", "live"))).alias("all"))
+    return per_row.withColumn("all", F.filter("all", lambda s: (s["kind"] < 4) | (s["owners"] == 1)))
+
 
-    kept = F.filter("all", lambda s: (s["kind"] < 4) | (s["owners"] == 1))
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = 3, salts: int = 16) -> DataFrame:
+    """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, and counts by verdict.
+
+    ``spans`` holds kind:start:end by start, then kind; ``base_sha256`` digests the base ones. Verdicts:
+    ``n_copied`` values have at least ``copied_owners`` owners, ``n_owned`` have one owner, ``n_live`` of these
+    look random. Null texts count as empty, null owners or repositories as one nameless owner or repository;
+    repeated rows stay apart; extra columns are ignored. Frequencies are aggregated map-side first, and the
+    join that brings them back is salted, so a value in a third of all rows is spread over ``salts`` keys and
+    may be split further.
+    """
+    found = _found(df, id_col, text_col, owner_col, repo_col)
     names = F.array(*map(F.lit, KINDS))
     write = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda cond: F.size(F.filter("all", cond)).cast("long")
@@ -106,7 +115,30 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         )
 
     empty = found.where(F.size("found") == 0).select("id", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,owners:bigint,repos:bigint,live:boolean>>").alias("all"))
-    return result(per_row.withColumn("all", kept).select("id", "all").unionByName(empty))
+    return result(_judged(found, salts).select("id", "all").unionByName(empty))
+
+
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = "[secret]", salts: int = 16) -> DataFrame:
+    """The rows with every span of ``scan`` replaced by ``mask`` in the text (overlapping spans by one).
+
+    Rows without candidates pass as they are; only the others meet their spans in a join. Columns stay as they are
+    named and ordered; a null text stays null.
+    """
+    columns = df.columns
+    rows = df.withColumn("_rid", F.monotonically_increasing_id())
+    spans = _judged(_found(df, id_col, text_col, owner_col, repo_col), salts).select(F.col("rid").alias("_rid"), F.col("all").alias("_all"))
+    any_ = F.reduce(F.array(*[F.col(text_col).rlike(p) for p in (ASSIGN, ACCESS, HEX, VENDOR, GENERIC)]), F.lit(False), lambda a, b: a | b)
+    some = F.coalesce(any_, F.lit(False))
+
+    def step(acc, s):
+        gap = F.substr(F.col(text_col), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    done = F.aggregate("_all", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), (acc["at"] + 1).cast("int"))))
+    touched = rows.where(some).join(spans, "_rid", "left").withColumn(text_col, F.when(F.size("_all") > 0, done).otherwise(F.col(text_col)))
+    return rows.where(~some).select(columns).unionByName(touched.select(columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
