@@ -34,32 +34,40 @@ def stored(df: DataFrame) -> DataFrame:
 class WordCache(dict):
     """A bounded dict of two generations: what was used in neither of the last two fills is forgotten.
 
-    ``compute`` maps a list of distinct missing keys to their values.
+    ``compute`` maps a list of distinct missing keys to their values, none of which is None.
     """
 
-    def __init__(self, compute, cap: int = 300_000):
+    def __init__(self, compute, cap: int = 500_000):
         super().__init__()
-        self.compute, self.cap, self.old = compute, cap, {}
+        self.compute, self.cap, self.old, self.missed = compute, cap, {}, []
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            self.missed.append(key)
+        else:
+            self[key] = value
+        return value
 
     def all(self, keys: list) -> list:
-        out = list(map(self.get, keys))
-        if None in out:
-            old, missing = self.old, []
-            for k in {k for k, v in zip(keys, out) if v is None}:
-                v = old.get(k)
-                if v is None:
-                    missing.append(k)
-                else:
-                    self[k] = v
-            if missing:
-                self.update(zip(missing, self.compute(missing)))
+        out = list(map(self.__getitem__, keys))
+        if self.missed:
+            missing, self.missed = list(set(self.missed)), []
+            self.update(zip(missing, self.compute(missing)))
             out = list(map(self.__getitem__, keys))
-            if len(self) > self.cap:
-                self.old = dict(self)
-                self.clear()
+        if len(self) > self.cap:
+            self.old = dict(self)
+            self.clear()
         return out
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of at most so many rows, so that what is made of them in Python stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8_bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, and the offsets (len + 1) of each; a null counts as empty."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -80,5 +88,13 @@ def groups_of_bytes(sizes: np.ndarray, most: int):
         yield start, len(sizes)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Spark hand rows to Python in batches of at most so many (its own 10,000 whole texts take much memory)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -13,15 +13,18 @@ partition's number times 2**40 plus a counter: they are the same when a lost tas
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WordCache, load
+from .common import WordCache, load, slices
 
 END_ID = 2
 
@@ -155,31 +158,75 @@ class Packer:
         return out
 
 
-_STATE: dict = {}
+class Tokenizer:
+    """Ids of whole texts, as little-endian unsigned 32-bit numbers.
 
+    White space always ends a pre-token of this tokenizer and is dropped, so the words between blanks and line
+    feeds are encoded one by one, each distinct one once per cache generation. Where it changes nothing
+    (no special token, only characters whose lower case and normal form are plain) texts are lower-cased first.
+    """
 
-def _tokens(path: str) -> WordCache:
-    if path not in _STATE:
+    letters = re.compile(r"[a-zà-öø-ÿ]+")
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-
-        def compute(words):
-            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(words, add_special_tokens=False)]
+        self.tokenizer, self.words = Tokenizer.from_file(path), WordCache(self._encoded)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Words of letters go 500 at a time as one text, and are told apart by their last ids, which end a word."""
+        plain = [w for w in words if self.letters.fullmatch(w)]
+        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        out: dict[str, bytes] = {}
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False) if lines else []):
+            ids = np.array(e.ids, "<u4")
+            cut = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(cut) == len(line):
+                raw = ids.tobytes()
+                out.update(zip(line, [raw[s:t] for s, t in zip([0, *cut], cut)]))
+        rest = [w for w in words if w not in out]
+        if rest:
+            out.update(zip(rest, [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
+        return [out[w] for w in words]
+
+    def all(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and their offsets (len + 1)."""
+        own = []
+        for t in texts:
+            if "<|" not in t:
+                try:
+                    t.encode("latin-1")
+                    t = t.lower()
+                except UnicodeEncodeError:
+                    pass
+            own.append(t.replace("\n", " "))
+        # punctuation that ends a word behind a letter is a pre-token of its own
+        apart = pc.replace_substring_regex(pa.array(own, pa.large_string()), "([a-zà-öø-ÿ])([.,;:!?|]+)( |$)", r"\1 \2\3")
+        parts = pc.split_pattern(apart, " ")
+        words = parts.values.dictionary_encode()
+        raw = self.words.all(words.dictionary.to_pylist())  # of each distinct word once
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        starts, code = np.cumsum(sizes) - sizes, np.asarray(words.indices)
+        n = sizes[code]
+        before = np.concatenate([[0], np.cumsum(n)])
+        flat = np.frombuffer(b"".join(raw), "<u4")
+        offsets = before[np.asarray(parts.offsets)]
+        ids = flat[np.repeat(starts[code] - before[:-1], n) + np.arange(before[-1])]
+        return np.insert(ids, offsets[1:], end_id).astype("<u4"), offsets + np.arange(len(offsets))
 
-        _STATE.clear()
-        _STATE[path] = WordCache(compute)
-    return _STATE[path]
 
+_STATE: dict = {}
 
-def token_bytes(cache: WordCache, text: str, end_id: int = END_ID) -> bytes:
-    """Little-endian unsigned 32-bit ids of a whole text and the end id.
 
-    White space always ends a pre-token of this tokenizer and is dropped, so the words between blanks and
-    line feeds are encoded one by one, each distinct one once per cache generation.
-    """
-    return b"".join(cache.all(text.replace("\n", " ").split(" "))) + int(end_id).to_bytes(4, "little")
+def _tokenizer(path: str) -> Tokenizer:
+    if path not in _STATE:
+        _STATE.clear()
+        _STATE[path] = Tokenizer(path)
+    return _STATE[path]
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, chunk_tokens: int = 6_000_000, with_ids: bool = False) -> DataFrame:
@@ -187,34 +234,34 @@ def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits()
 
     A null text counts as empty and still has its end id. Documents are told apart by row, so repeated rows
     and repeated ids are packed each for itself. All ids of a document are loss-bearing. A task holds at most
-    ``chunk_tokens`` ids (or one document) at a time. Other columns are ignored.
+    about ``chunk_tokens`` ids (or 1000 documents) at a time. Other columns are ignored.
     """
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
 
     def flush(docs, ids, packer, base):
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        lengths = np.array([len(x) for x in ids], np.int64)
         rows = []
         bins = packer.pack(lengths, lengths)
         for s, b in enumerate(bins):
             offset = 0
             for i, start, n in b:
-                raw = ids[i][4 * start : 4 * (start + n)]
+                raw = ids[i][start : start + n]
                 row = (docs[i], start, n, zlib.crc32(raw), int(lengths[i]), base + s, offset)
-                rows.append((*row, np.frombuffer(raw, "<u4").astype(np.int64)) if with_ids else row)
+                rows.append((*row, raw.astype(np.int64)) if with_ids else row)
                 offset += n
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names), len(bins)
 
     def run(batches):
-        cache, packer = _tokens(tokenizer_path), Packer(limits)
+        tokenizer, packer = _tokenizer(tokenizer_path), Packer(limits)
         base, docs, ids, held = TaskContext.get().partitionId() << 40, [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = token_bytes(cache, text.as_py() or "", end_id)
-                docs.append(doc)
-                ids.append(raw)
-                held += len(raw) // 4
+            for part in slices([batch], 1000):
+                flat, offsets = tokenizer.all([t or "" for t in part.column(1).to_pylist()], end_id)
+                docs += part.column(0).to_pylist()
+                ids += [flat[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                held += len(flat)
                 if held >= chunk_tokens:
                     out, n = flush(docs, ids, packer, base)
                     yield out
