@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,11 +63,19 @@ class WordCache(dict):
         return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between stages, and each keeps what it ever needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in parts of at most so many rows, so that what is made of them in Python stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def utf8_bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:

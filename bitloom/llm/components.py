@@ -43,22 +43,25 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep][s : s + 100_000]), pa.array(root[keep][s : s + 100_000])], names=["child", "parent"])
 
 
-def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 40, task_rows: int = 250_000) -> DataFrame:
     """(node, component) for all nodes of edges (a, b) of longs; component is the smallest node reachable.
 
     Each task contracts its edges to stars, so a node has at most one parent per task and no task ever gathers
-    the children of a hub. Rounds of pointer jumping and regrouping by child follow until the forest is flat.
-    Only counts reach the driver.
+    the children of a hub. Rounds of regrouping by child and pointer jumping follow until the forest is flat.
+    The rounds run in as many tasks as the contracted edges need. Only counts reach the driver.
     """
     schema = "child long, parent long"
     forest = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(_contract, schema)
+    forest = cut(forest.repartition("child").mapInArrow(_contract, schema))
+    tasks = max(8, -(-forest.count() // task_rows))
     for _ in range(rounds):
-        forest = cut(forest.repartition("child").mapInArrow(_contract, schema))
         up = forest.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
-        jumped = forest.join(up, "parent", "left")
-        state = jumped.agg(F.count("above").alias("deep"), F.count(F.lit(1)).alias("n"), F.countDistinct("child").alias("children")).first()
-        if not state.deep and state.n == state.children:
+        jumped = forest.join(up, "parent", "left").select("child", "parent", "above").coalesce(tasks)
+        several = forest.groupBy("child").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks).where("n > 1")
+        if jumped.where("above is not null").isEmpty() and several.isEmpty():
             tops = forest.select(F.col("parent").alias("node"), F.col("parent").alias("component")).distinct()
             return forest.select(F.col("child").alias("node"), F.col("parent").alias("component")).unionByName(tops)
-        forest = jumped.select("child", F.coalesce("above", "parent").alias("parent")).unionByName(forest.where(F.lit(state.n != state.children)))
+        # a jump keeps what it jumped from: the edge from parent to above is a row of its own
+        shorter = jumped.select("child", F.coalesce("above", "parent").alias("parent"))
+        forest = cut(shorter.unionByName(forest).repartition("child").coalesce(tasks).mapInArrow(_contract, schema))
     raise RuntimeError("components did not settle")

@@ -17,11 +17,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups_of_bytes, load
-from .components import connected
+from .common import cut, groups_of_bytes, load, slices
+from .components import connected, roots
 
 SAMPLES, ROWS, BITS, WORDS = 128, 4, 512, 5
 BANDS = SAMPLES // ROWS
@@ -78,7 +79,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for i, j in groups_of_bytes(np.array([len(r) for r in raw], np.int64), 1 << 20):
+    for i, j in groups_of_bytes(np.array([len(r) for r in raw], np.int64), 1 << 18):
         h, offsets = word_hashes(raw[i:j])
         n = max(0, len(h) - WORDS + 1)
         s = np.zeros(n, np.uint64)
@@ -138,7 +139,7 @@ def profile(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     schema = "rid long, id long, n_shingles long, key binary, bands array<long>, sketch binary"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(2).to_pylist())
             m = np.stack([samples(s) for s in sets]) if sets else np.zeros((0, SAMPLES), np.uint32)
             full = np.array([len(s) > 0 for s in sets], bool)
@@ -174,39 +175,49 @@ def sketched(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, df: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union, exactly."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id")
+def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): the sorted shingle hashes, as bytes, of the documents whose ids are listed."""
 
-    def sets(batches):
-        for batch in batches:
-            got = shingle_sets(batch.column(1).to_pylist())
+    def pack(batches):  # texts make up most of what is shuffled here
+        for batch in slices(batches):
+            z = [zstandard.compress((t or "").encode("utf-8", "surrogatepass"), 3) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["id", "z"])
+
+    def run(batches):
+        for batch in slices(batches):
+            got = shingle_sets([zstandard.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "s"])
 
-    own = texts.mapInArrow(sets, "id long, s binary")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "id long, z binary")
+    return texts.join(ids.select("id").distinct(), "id").select("id", "z").mapInArrow(run, "id long, s binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
+def verified(pairs: DataFrame, df: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union, exactly."""
+    own = full_sets(df, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), id_col, text_col)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ok = []
-                for x, y in zip(part.column(2), part.column(3)):
-                    x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                    inter = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * inter >= percent * (len(x) + len(y) - inter))
-                ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
+        for part in slices(batches):
+            ok = pa.array([similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(part.column(2), part.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
 
     both = pairs.join(own.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def across(rows: DataFrame, similarity: float, block: int = 256) -> DataFrame:
-    """Pairs (a, b) of bucket rows (h, rep, component, size, sketch) in different components, block by block."""
+def families(rows: DataFrame, similarity: float, block: int = 256) -> DataFrame:
+    """(node, component) of the graph of all pairs of a bucket that lie in different components and pass the sketches.
+
+    Rows are (h, rep, component, size, sketch). Buckets are dealt as pairs of blocks, and a task returns a spanning
+    star of what it found, so the rows returned follow the members and not their pairs.
+    """
     most = most_bits(similarity)
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = rows.withColumn("n", blocks).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    own = rows.withColumn("n", F.ceil(F.col("size") / block).cast("int")).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("h", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "rep", "component", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
@@ -216,13 +227,64 @@ def across(rows: DataFrame, similarity: float, block: int = 256) -> DataFrame:
         left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
         a, b = [], []
         for x in left:
-            y = right[(rep[right] > rep[x] if i == j else rep[right] != rep[x]) & (comp[right] != comp[x])]
+            y = right[comp[right] != comp[x]]
             y = y[_popcounts(s[y], s[x][None]) <= most]
-            a.append(np.minimum(rep[x], rep[y]))
-            b.append(np.maximum(rep[x], rep[y]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+            a.append(np.full(len(y), rep[x]))
+            b.append(rep[y])
+        nodes, root = roots(np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)]))
+        return pa.table({"a": nodes[nodes != root], "b": root[nodes != root]})
+
+    return connected(dealt.groupBy("h", "i", "j").applyInArrow(run, "a long, b long"))
+
+
+def within_families(rows: DataFrame, percent: int, similarity: float, block: int = 256) -> DataFrame:
+    """Links (a, b) between components, by the full sets, of rows (family, rep, component, sketch, s).
+
+    The largest component of a family is compared with the other members only, and these with each other, in
+    pairs of blocks. Within a task the likeliest pairs come first, and pairs that links found so far have
+    joined already are left out, so what a task returns joins the same components as all its links would.
+    """
+    most = most_bits(similarity)
+    counts = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block).cast("int"))
+    sizes = sizes.select("family", F.pmod("family", F.lit(97)).alias("t"), F.col("m.component").alias("main"), blocks(F.col("m.n")).alias("mains"), blocks(F.col("all") - F.col("m.n")).alias("others"))
+    own = rows.withColumn("t", F.pmod("family", F.lit(97))).join(sizes, ["family", "t"]).withColumn("is_main", F.col("component") == F.col("main"))
+    own = own.withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    of_main = each(F.col("others"), lambda o: task(0, F.col("k"), o))
+    of_other = F.concat(each(F.col("mains"), lambda m: task(0, m, F.col("k"))), each(F.col("others"), lambda o: task(1, F.least("k", o), F.greatest("k", o))))
+    dealt = own.withColumn("task", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other))).select("family", "task.*", "is_main", "k", "rep", "component", "sketch", "s")
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
+        main, k, rep, comp = (table.column(c).to_numpy() for c in ("is_main", "k", "rep", "component"))
+        bits, sets = _sketch_matrix(table.column("sketch")), [np.frombuffer(x.as_py(), np.uint64) for x in table.column("s")]
+        left, right = (np.flatnonzero(main), np.flatnonzero(~main)) if kind == 0 else (np.flatnonzero(k == i), np.flatnonzero(k == j))
+        low = {c: c for c in comp.tolist()}
+
+        def top(c):
+            while low[c] != c:
+                low[c] = c = low[low[c]]
+            return c
+
+        found = []
+        for x in left:
+            y = right[comp[right] != comp[x]]
+            d = _popcounts(bits[y], bits[x][None]).astype(np.int64)
+            found.append(np.stack([d[d <= most], np.full(int((d <= most).sum()), x), y[d <= most]], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        a, b = [], []
+        for _, x, y in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist():
+            p, q = top(int(comp[x])), top(int(comp[y]))
+            if p != q and similar(sets[x], sets[y], percent):
+                low[p] = q
+                a.append(rep[x])
+                b.append(rep[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("h", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("family", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -252,13 +314,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = filed.where("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("t", F.pmod("h", F.lit(97)))
     mixed = several.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("h", F.pmod("h", F.lit(97)).alias("t"))
     rest = several.join(mixed, ["h", "t"]).join(full.select("rep", "sketch"), "rep").select("h", "rep", "component", "size", "sketch")
-    more = across(rest, similarity).join(close, ["a", "b"], "left_anti")
-    late = cut(verified(cut(more), df, percent, id_col, text_col))
+    family = cut(families(rest, similarity)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    members = family.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = members.join(full.select("rep", "sketch"), "rep").join(full_sets(df, family.select(F.col("rep").alias("id")), id_col, text_col).withColumnRenamed("id", "rep"), "rep")
+    late = cut(within_families(members, percent, similarity))
     second = connected(_lifted(late, first))
-    component = first.withColumnRenamed("component", "c").unionByName(second.where("node = component").select("node", F.col("component").alias("c")).join(first.select("node"), "node", "left_anti"))
-    component = component.join(second.select(F.col("node").alias("c"), F.col("component").alias("top")), "c", "left").select("node", F.coalesce("top", "c").alias("component"))
-    alone = second.join(component.select("node"), "node", "left_anti").select("node", "component")
-    component = component.unionByName(alone).withColumnRenamed("node", "rep")
+    top = second.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    component = first.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    component = component.unionByName(second.join(first, "node", "left_anti")).withColumnRenamed("node", "rep")
 
     ranked = reps.select("key", "n_shingles", "rep").join(component, "rep", "left").select("key", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     joined = linked.select("id", "key", "n_shingles").join(ranked, ["key", "n_shingles"]).select("id", "n_shingles", "component_id")
