@@ -14,6 +14,7 @@ from .functions import text as tx
 from .layout import parse_rows
 from .operators import audit, bitstats, condensed, dictionary, encode, evaluate, features, pixels, preprocess, profile, sampling, select
 from .plans.tables import numbered
+from .sources import containers, tabular
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -615,6 +616,55 @@ def resize_bilinear(spark, sf):
     return pixels.resized(grid(spark, sf), "image", ["r", "g", "b"], 11, 8, 22, 16)
 
 
+CHANNELS = ["r", "g", "b"]
+
+
+def image_files(spark, sf, **options) -> DataFrame:
+    return containers.compress_images(grid(spark, sf), "image", CHANNELS, **options)
+
+
+@query(f"WITH {GRID_SQL} SELECT * FROM g")
+def image_roundtrip(spark, sf):
+    return containers.decompress_images(image_files(spark, sf, transform="minimum", group=(3, 2), table="fixed"), "image", CHANNELS)
+
+
+@query(f"WITH {GRID_SQL} SELECT * FROM g WHERE x BETWEEN 2 AND 7 AND y BETWEEN 1 AND 4")
+def image_crop(spark, sf):
+    return containers.decompress_images(image_files(spark, sf, encoding="rle", group=(3, 1)), "image", CHANNELS, (2, 1, 7, 4))
+
+
+@query("SELECT r_regionkey AS image, 11::BIGINT AS width, 8::BIGINT AS height, 3::BIGINT AS channels, 2::BIGINT AS color_model, 1::BIGINT AS grouping_transform, 264::BIGINT AS raw_bytes, NULL::VARCHAR AS error FROM region")
+def image_headers(spark, sf):
+    return containers.headers(image_files(spark, sf)).select("image", "width", "height", "channels", "color_model", "grouping_transform", "raw_bytes", "error")
+
+
+@query(f"{YCOCG_R_SQL}, k AS (SELECT image, count(DISTINCT (r, g, b))::BIGINT AS k FROM g GROUP BY 1) SELECT image, k, 11 AS width, 8 AS height FROM k")
+def image_base_counts(spark, sf):
+    return containers.base_counts(image_files(spark, sf, model="rgb", least=1 << 20), "image").select("image", "k", "width", "height")
+
+
+@query()
+def image_maps(spark, sf):
+    return containers.maps(image_files(spark, sf), "image")
+
+
+@query()
+def image_ablation(spark, sf):
+    variants = [{"model": m, "encoding": e, "table": t} for m in ("rgb", "ycocg_r") for e in ("normal", "rle", "huffman") for t in ("raw", "unary", "fixed")]
+    return containers.ablation(grid(spark, sf), "image", CHANNELS, variants)
+
+
+@query()
+def image_archives(spark, sf):
+    return containers.archives(image_maps(spark, sf).select("image", "y", "x", "z"), "image", ["z"], 11)
+
+
+@query("SELECT p_brand, p_partkey, p_size, p_retailprice FROM part")
+def table_containers(spark, sf):
+    files = tabular.pack_groups(table(spark, sf, "part"), "p_brand", ["p_partkey", "p_size", "p_retailprice"], table="unary")
+    return tabular.unpack_groups(files, "p_brand", "p_brand string, p_partkey long, p_size int, p_retailprice double")
+
+
 # --- audits -------------------------------------------------------------------------------------------------------
 
 
