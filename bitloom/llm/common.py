@@ -51,6 +51,10 @@ class WordCache(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
     def all(self, keys: list) -> list:
         out = list(map(self.__getitem__, keys))
         if self.missed:

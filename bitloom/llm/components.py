@@ -46,13 +46,15 @@ def _contract(batches):
 def connected(edges: DataFrame, rounds: int = 40, task_rows: int = 250_000) -> DataFrame:
     """(node, component) for all nodes of edges (a, b) of longs; component is the smallest node reachable.
 
-    Each task contracts its edges to stars, so a node has at most one parent per task and no task ever gathers
-    the children of a hub. Rounds of regrouping by child and pointer jumping follow until the forest is flat.
-    The rounds run in as many tasks as the contracted edges need. Only counts reach the driver.
+    Edges are dealt by their larger node, and each task contracts its own to stars, so a node has at most one
+    parent per task and no task ever gathers the larger neighbours of a hub. Rounds of regrouping by child and
+    pointer jumping follow until the forest is flat, in as many tasks as the contracted edges need. Only
+    counts reach the driver.
     """
     schema = "child long, parent long"
-    forest = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(_contract, schema)
-    forest = cut(forest.repartition("child").mapInArrow(_contract, schema))
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    oriented = edges.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).where("child != parent")
+    forest = cut(oriented.repartition("child").mapInArrow(_contract, schema))
     tasks = max(8, -(-forest.count() // task_rows))
     for _ in range(rounds):
         up = forest.select(F.col("child").alias("parent"), F.col("parent").alias("above"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of_bytes, load, utf8_bytes
+from .common import groups_of_bytes, load, slices, utf8_bytes
 
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
@@ -190,7 +190,7 @@ def identify(df: DataFrame, model: ByteNetwork | None, id_col: str = "doc_id", t
 
     def run(batches):
         tables = model.tables() if model else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             got = model.predict(texts, tables) if model else [(UNKNOWN, 0.0)] * len(texts)
             cols = [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
@@ -209,7 +209,7 @@ def accepted(df: DataFrame, model: ByteNetwork | None, least: float = 0.5, text_
 
     def run(batches):
         tables = model.tables() if model else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             got = model.predict(texts, tables) if model else [(None, 1.0) if t is not None and has_letter(t) else (UNKNOWN, 0.0) for t in texts]
             yield batch.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WordCache, load, slices
+from .common import WordCache, give_back, load, slices
 
 END_ID = 2
 
@@ -229,7 +229,7 @@ def _tokenizer(path: str) -> Tokenizer:
     return _STATE[path]
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, chunk_tokens: int = 6_000_000, with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, chunk_tokens: int = 2_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A null text counts as empty and still has its end id. Documents are told apart by row, so repeated rows
@@ -256,18 +256,19 @@ def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits()
     def run(batches):
         tokenizer, packer = _tokenizer(tokenizer_path), Packer(limits)
         base, docs, ids, held = TaskContext.get().partitionId() << 40, [], [], 0
-        for batch in batches:
-            for part in slices([batch], 1000):
-                flat, offsets = tokenizer.all([t or "" for t in part.column(1).to_pylist()], end_id)
-                docs += part.column(0).to_pylist()
-                ids += [flat[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                held += len(flat)
-                if held >= chunk_tokens:
-                    out, n = flush(docs, ids, packer, base)
-                    yield out
-                    base, docs, ids, held = base + n, [], [], 0
+        for part in slices(batches, 1000):
+            flat, offsets = tokenizer.all([t or "" for t in part.column(1).to_pylist()], end_id)
+            docs += part.column(0).to_pylist()
+            ids += [flat[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            held += len(flat)
+            if held >= chunk_tokens:
+                out, n = flush(docs, ids, packer, base)
+                yield out
+                base, docs, ids, held = base + n, [], [], 0
         if docs:
             yield flush(docs, ids, packer, base)[0]
+        tokenizer.words.forget()
+        give_back()
 
     return df.selectExpr(f"cast(`{id_col}` as long) as `{id_col}`", f"cast(`{text_col}` as string) as `{text_col}`").mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, slices
 
 KINDS = ("email", "ip", "card", "phone", "address", "local", "name", "number")
 BASE = 4
@@ -205,7 +205,7 @@ def fit(df: DataFrame, text_col: str = "text") -> SpanModel:
 
     def run(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0):
                 if text := t.as_py():
                     seen.update(map(pattern_of, candidates(text)))
@@ -225,7 +225,7 @@ def find(df: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str
     names = [id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 all_spans = candidates(t.as_py() or "")

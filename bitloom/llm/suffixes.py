@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of_bytes, load, stored, utf8_bytes
+from .common import give_back, groups_of_bytes, load, slices, stored, utf8_bytes
 from .minhash import _BYTE, _powers, mix
 
 GRAM = 32
@@ -63,11 +63,11 @@ def _anchored(df: DataFrame, length: int) -> DataFrame:
     """f, g, doc, rid, at, known: at packs a run's start and number of strings; known runs repeat one of their own batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024):
             rid, doc = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             data, offsets = utf8_bytes(batch.column(2).to_pylist())
             found = []
-            for i, j in groups_of_bytes(np.diff(offsets), 1 << 20):
+            for i, j in groups_of_bytes(np.diff(offsets), 1 << 17):
                 for s, part, o in _pieces(data, offsets, i, j, length):
                     text, start, n, f, g = runs(part, o, length)
                     found.append((rid[i + text], doc[i + text], ((start + s) << 8) | n, f, g))
@@ -272,7 +272,7 @@ def _compared(asked: DataFrame, docs: DataFrame, length: int, chunk: int = 3_000
     """(rid, start, end) of bytes under repeated strings among runs to compare."""
 
     def fetch(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for rid, doc, text, at, f in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 at = np.array(at, np.int64)
@@ -307,6 +307,7 @@ def _compared(asked: DataFrame, docs: DataFrame, length: int, chunk: int = 3_000
                     size = sum(b.nbytes for b in held)
         if held and sum(b.num_rows for b in held):
             yield settle(pa.Table.from_batches(held))
+        give_back()
 
     lists = asked.groupBy("rid").agg(F.collect_list("at").alias("ats"), F.collect_list("f").alias("fs"))
     segments = docs.join(lists, "rid").select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text", "ats", "fs", *[c for c in docs.columns if c.startswith("_keep_")]).mapInArrow(fetch, "f long, doc long, rid long, start long, seg binary")
@@ -334,7 +335,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *(f"_keep_{c}" for c in keep)]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, starts, ends in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")

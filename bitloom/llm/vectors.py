@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 
 def matrix(column) -> np.ndarray:
     """(n, d) doubles of equally long binary values."""
@@ -22,7 +24,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = Non
     label = F.col(label_col).cast("string") if label_col else F.lit("")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             vs, keys, dims = [], [], []
             labels = batch.column(2).to_pylist()
             for lab, x in zip(labels, batch.column(3).to_pylist()):

@@ -11,22 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import language, minhash, packing, secrets, suffixes
-from bitloom.llm.common import stored
+from bitloom.llm.common import small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a clear language."""
+    small_batches(spark)
     return language.accepted(docs, language.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies keep the document of the smallest id."""
+    small_batches(spark)
     gone = minhash.near_duplicates(docs).where("not kept and component_id is not null").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(stored(gone), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every 100-byte string that also starts earlier in the corpus; n_chars follows the text."""
+    small_batches(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = suffixes.remove_repeated(docs, keep=rest, with_text=True)
     cols = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), **{c: F.col(f"_keep_{c}") for c in rest}}
@@ -45,6 +48,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
