@@ -25,5 +25,41 @@ def queries() -> dict:
     }
 
 
+USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+COMPONENTS = """
+reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+ORACLE = {
+    "op4_neardup": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND {USABLE}),
+edges AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND p.id <> q.id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.98),
+nodes AS (SELECT vec_id AS id FROM embeddings),{COMPONENTS},
+n AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
+SELECT comp.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, comp.id = component_id AS kept FROM comp LEFT JOIN n ON n.id = comp.id""",
+    "op7_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+edges AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+nodes AS (SELECT doc_id AS id FROM documents),{COMPONENTS}
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM comp LEFT JOIN n ON n.doc_id = id""",
+    "op8_suffixes": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, (length(hex(encode(coalesce(text, '')))) // 2)::BIGINT AS n FROM documents),
+g AS (SELECT doc_id, unnest(range(n - 99)) AS i, h FROM d WHERE n >= 100),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(h, 2 * i + 1, 200)) ORDER BY doc_id, i) > 1 AS later FROM g),
+b AS (SELECT doc_id, unnest(range(n)) AS p, h FROM d),
+t AS (SELECT doc_id, i, 1 AS k FROM w WHERE later UNION ALL SELECT doc_id, i + 100, -1 FROM w WHERE later),
+u AS (SELECT doc_id, i, sum(k) AS k FROM t GROUP BY 1, 2),
+m AS (SELECT b.doc_id, b.p, substr(b.h, 2 * b.p + 1, 2) AS x, sum(coalesce(u.k, 0)) OVER (PARTITION BY b.doc_id ORDER BY b.p) > 0 AS gone FROM b LEFT JOIN u ON u.doc_id = b.doc_id AND u.i = b.p),
+z AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS start FROM m),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (start) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM z GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id""",
+    "op9_search": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE {USABLE}),
+d AS (SELECT q.id AS query_id, c.id AS vec_id, sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.id % 100 = 0 AND c.id <> q.id AND len(q.x) = len(c.x))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d) WHERE rank <= 10""",
+}
+
+
 def oracle_sql() -> dict:
-    return {}
+    """SQL of the operators that SQL can express; the others are tested against libraries and brute force."""
+    return dict(ORACLE)
