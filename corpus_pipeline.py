@@ -15,9 +15,9 @@ from bitloom.llm.common import small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or without a clear language."""
+    """Drop documents without a letter and those that no language fits better than by chance (mixed ones stay)."""
     small_batches(spark)
-    return language.accepted(docs, language.fit(docs))
+    return language.accepted(docs, language.fit(docs), least=0.35)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
