@@ -6,7 +6,8 @@ bytes. Runs are dealt by their anchor's hash. Runs that are equal as a whole col
 others being repeated for sure; anchors that occur once drop out; what is left, different runs around one anchor, fetches
 its bytes and is suffix sorted in two stages: suffixes smaller than their successors are sorted directly, the rest
 is induced from them by bucket scans. Adjacent common prefixes of at least ``length`` bytes then tell which strings
-are equal, and all but the earliest are repeated.
+are equal, and all but the earliest are repeated. Runs around anchors that very many documents share are dealt
+string by string instead.
 """
 
 from __future__ import annotations
@@ -268,7 +269,7 @@ def repeated(segments: list[bytes], rank: np.ndarray, length: int = 100) -> list
     return [flag[s : e + 1] for s, e in zip(first, last)]
 
 
-def _compared(asked: DataFrame, docs: DataFrame, length: int, chunk: int = 3_000_000) -> DataFrame:
+def _compared(asked: DataFrame, docs: DataFrame, length: int, chunk: int = 1_000_000) -> DataFrame:
     """(rid, start, end) of bytes under repeated strings among runs to compare."""
 
     def fetch(batches):
@@ -314,7 +315,74 @@ def _compared(asked: DataFrame, docs: DataFrame, length: int, chunk: int = 3_000
     return segments.repartition("f").sortWithinPartitions("f").mapInArrow(sort, "rid long, start long, end long")
 
 
-def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def _dealt_by_string(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """The same as _compared for hot anchors: every string is dealt by its own 128-bit hash.
+
+    Strings that occur twice within a slice of documents are settled before the shuffle, so that a string in very
+    many documents is a row per slice, not per document; its rows then pass through a task one after another.
+    """
+
+    def fetch(batches):
+        for batch in slices(batches):
+            first: dict[bytes, tuple] = {}
+            rows = []
+            for rid, doc, text, at in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                for x in at:
+                    for s in range(x >> 8, (x >> 8) + (x & 255)):
+                        h, mine = hashlib.blake2b(raw[s : s + length], digest_size=16).digest(), (doc, rid, s)
+                        other = first.setdefault(h, mine)
+                        if other != mine:
+                            first[h] = min(other, mine)
+                            rows.append((*max(other, mine), True, h))
+            rows += [(*mine, False, h) for h, mine in first.items()]
+            if rows:
+                d, r, s, known, h = zip(*rows)
+                key = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
+                r, s, known = np.array(r, np.int64), np.array(s, np.int64), np.array(known)
+                # settled ones need no partner and are dealt anywhere
+                f = np.where(known, mix(mix(r.astype(np.uint64)) + s.astype(np.uint64)).view(np.int64), key[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(key[:, 1]), pa.array(d, pa.int64()), pa.array(r), pa.array(s), pa.array(known)], names=["f", "g", "doc", "rid", "start", "known"])
+
+    def settle(batches):
+        last = None
+        for batch in batches:
+            f, g, r, s = (np.asarray(batch.column(k)) for k in (0, 1, 3, 4))
+            known = batch.column(5).to_numpy(zero_copy_only=False)
+            again = known.copy()
+            own = np.flatnonzero(~known)
+            if len(own):
+                same = np.zeros(len(own), bool)
+                same[1:] = (f[own][1:] == f[own][:-1]) & (g[own][1:] == g[own][:-1])
+                same[0] = last == (f[own[0]], g[own[0]])
+                again[own] = same
+                last = (f[own[-1]], g[own[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(r[again]), pa.array(s[again]), pa.array(s[again] + length)], names=["rid", "start", "end"])
+
+    lists = asked.groupBy("rid").agg(F.collect_list("at").alias("ats"))
+    strings = docs.join(lists, "rid").select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text", "ats", *[c for c in docs.columns if c.startswith("_keep_")])
+    strings = strings.mapInArrow(fetch, "f long, g long, doc long, rid long, start long, known boolean")
+    return strings.repartition("f").sortWithinPartitions("f", "g", "doc", "rid", "start").mapInArrow(settle, "rid long, start long, end long")
+
+
+def _settled(asked: DataFrame, docs: DataFrame, length: int, least: int, most: int) -> DataFrame:
+    """(rid, start, end) of repeated strings among runs to compare.
+
+    An anchor is hot if more runs have it than a thousandth of all, within least and most; there are few such
+    anchors, and what a task holds of any other is bounded by ``most`` runs.
+    """
+    limit = min(most, max(least, asked.count() // 1000))
+    t = F.pmod("f", F.lit(97))
+    hot = asked.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("f", t.alias("t"))
+    hot = stored(hot)
+    if hot.isEmpty():
+        return _compared(asked, docs, length)
+    asked = asked.withColumn("t", t)
+    cold = _compared(asked.join(hot, ["f", "t"], "left_anti"), docs, length)
+    return cold.unionByName(_dealt_by_string(asked.join(hot, ["f", "t"], "left_semi"), docs, length))
+
+
+def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep: list[str] | None = None, with_text: bool = False, hot_least: int = 2048, hot_most: int = 200_000) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and the kept text, and the columns of ``keep``).
 
     Bytes under a string of ``length`` bytes that also starts earlier go; earlier is a smaller id (nulls last), for equal
@@ -328,7 +396,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = _anchored(docs.select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text"), length).repartition("f").sortWithinPartitions("f", "g", "doc", "rid", "at")
     judged = stored(dealt.mapInArrow(_judge, "f long, doc long, rid long, at long, ask boolean"))
     equal = judged.where("not ask").select("rid", F.shiftright("at", 8).alias("start"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + (length - 1)).alias("end"))
-    spans = equal.unionByName(_compared(judged.where("ask"), docs, length)).groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    spans = equal.unionByName(_settled(judged.where("ask"), docs, length, hot_least, hot_most)).groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     fields = {f.name: f for f in df.schema}
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     schema += "".join(f", `_keep_{c}` {fields[c].dataType.simpleString()}" for c in keep)

@@ -79,13 +79,15 @@ def rows():
 def test_remove_repeated(spark, rows):
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, rid int, f string").coalesce(1)
     assert found(df) == by_force(rows)
+    assert found(df, hot_least=3, hot_most=3) == by_force(rows)
     several = df.where("doc_id is not null and doc_id != 2006").repartition(6)
-    assert found(several) == by_force([r for r in rows if r[0] is not None and r[0] != 2006])
+    rest = by_force([r for r in rows if r[0] is not None and r[0] != 2006])
+    assert found(several) == rest and found(several, hot_least=1, hot_most=1) == rest
 
 
 def test_remove_repeated_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    assert found(df) == by_force([(r.doc_id, r.text) for r in df.collect()])
+    assert found(df, hot_least=5, hot_most=5) == found(df) == by_force([(r.doc_id, r.text) for r in df.collect()])
 
 
 def test_pieces_of_long_texts(monkeypatch):
