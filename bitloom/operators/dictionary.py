@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..layout import BitLayout, bits_needed, gathered
+from ..layout import LIMB, BitLayout, any_of, bit, bits_needed, gathered
 from ..plans.tables import numbered
 from . import bitstats
 
@@ -74,10 +74,12 @@ def build(bits: DataFrame, layout: BitLayout, selected: list[int], keys: list[st
 
 
 def projected(dictionary: Dictionary, positions: list[int] | None = None) -> DataFrame:
-    """(base_id, v0.., count): the given (selected) positions of each base, packed together in ascending order."""
+    """(base_id, v0.., count): the given (selected) positions of each base, packed next to each other in ascending order."""
     positions = sorted(positions if positions is not None else dictionary.selected)
-    words = gathered(positions[::-1])
-    return dictionary.bases.select("base_id", *[w.alias(f"v{i}") for i, w in enumerate(words)], "count")
+    words = []
+    for i in range(0, max(1, len(positions)), LIMB):
+        words.append(any_of([F.shiftleft(bit(p), k) for k, p in enumerate(positions[i : i + LIMB])]).alias(f"v{i // LIMB}"))
+    return dictionary.bases.select("base_id", *words, "count")
 
 
 def id_bits(k: int) -> int:

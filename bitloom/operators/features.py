@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,12 +164,3 @@ def spatial(rows: DataFrame, z: DataFrame, group: str, base: str, index: str, wi
     """(group, y, x, value): each pixel's z by its base, row-major."""
     joined = rows.select(group, index, base).join(z.select(group, base, "z"), [group, base])
     return joined.select(group, F.floor(F.col(index) / width).cast("int").alias("y"), F.pmod(F.col(index), F.lit(width)).cast("int").alias("x"), F.col("z").alias("value"))
-
-
-def per_image(pixels: pd.DataFrame, bits: int = 24) -> pd.DataFrame:
-    """For grouped pandas: the adaptive map of one image's (index, base) rows."""
-    values = np.unique(pixels["base"].to_numpy())
-    d = np.diff(values, prepend=values[:1]).astype(float)
-    a = np.log2(1 + d) / np.log2(1 + d.max()) if d.max() > 0 else np.zeros(len(d))
-    z = np.arange(len(values)) + np.floor(largest_scale(a) * a).cumsum().astype(np.int64)
-    return pixels.assign(z=z[np.searchsorted(values, pixels["base"])])

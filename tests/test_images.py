@@ -130,3 +130,17 @@ def test_report_and_classifier(spark):
     data = report.vectors(pooled, "g").withColumn("label", (F.substring("g", 2, 2).cast("int") % 2).cast("double"))
     model = report.classifier(data, 2, bins=8, hidden=(4,), steps=60)
     assert model.transform(data).where("prediction = label").count() >= 22
+
+
+def test_timing(monkeypatch, caplog):
+    from bitloom.plans import timing
+
+    seen = []
+    with timing.timed("step", lambda *x: seen.append(x)):
+        pass
+    assert seen[0][0] == "step" and seen[0][1] >= 0
+    monkeypatch.setenv("BITLOOM_TIMING", "1")
+    monkeypatch.setenv("BITLOOM_LOG", "info")
+    with caplog.at_level("WARNING"), timing.timed("logged"):
+        assert timing.setup().level == 20
+    assert "logged" in caplog.text

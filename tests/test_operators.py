@@ -136,6 +136,12 @@ def test_sorted_dictionary(spark):
     assert {(r.id, r.b0) for r in dictionary.decode(d, ["id"]).collect()} == {(r.id, r.b0) for r in bits.collect()}
 
 
+def test_projection(spark):
+    d = dictionary.build(words(spark, ["1010", "0001", "1011"]), layout_of(4), [0, 2, 3], ["id"], sort=False)
+    got = dictionary.projected(d, [2, 3]).join(d.bases.select("base_id", "b0"), "base_id").collect()
+    assert {(r.b0 >> 2 & 3, r.v0) for r in got} == {(r.v0, r.v0) for r in got} and len(got) == 3
+
+
 def test_random_access(spark):
     bits = spark.range(500).select("id", (F.col("id") * 37 % 256).alias("b0"))
     d = dictionary.build(bits, layout_of(8, 8), [4, 5, 6, 7], ["id"])
