@@ -60,6 +60,31 @@ SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITIO
 }
 
 
+
+def _secrets_sql() -> str:
+    """Offsets from the lengths of gaps and matches; RE2 has neither possessive quantifiers nor looking around."""
+    loose = "[A-Za-z0-9+/_-]{24,}={0,2}"
+    patterns = [secrets.ASSIGN, secrets.ACCESS, "[0-9a-f]{32,}", secrets.VENDOR.replace(",}+", ",}"), loose]
+    quoted = ["'" + p.replace("'", "''") + "'" for p in patterns]
+    parts = " UNION ALL ".join(f"SELECT rid, doc_id, owner, {k} AS kind, string_split_regex(t, {q}) AS ps, regexp_extract_all(t, {q}) AS hs FROM d" for k, q in enumerate(quoted))
+    kinds = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(secrets.KINDS)) + " END"
+    write = f"string_agg({kinds} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+m AS ({parts}),
+u AS (SELECT rid, doc_id, owner, kind, hs[i] AS hit, (coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM m)),
+v AS (SELECT *, start + length(hit) AS stop, CASE WHEN kind = 0 THEN regexp_extract(hit, {quoted[0]}, 1) ELSE hit END AS value FROM u),
+f AS (SELECT * FROM v WHERE CASE kind WHEN 0 THEN length(value) >= 8 WHEN 1 THEN length(value) >= 16 WHEN 4 THEN regexp_matches(hit, '^[A-Za-z+/_-]{{0,80}}[0-9]') AND regexp_matches(hit, '^[0-9+/_-]{{0,80}}[A-Za-z]') ELSE true END),
+c AS (SELECT * FROM f WHERE kind < 4 OR NOT EXISTS (SELECT 1 FROM f g WHERE g.rid = f.rid AND g.kind < 4 AND g.start < f.stop AND f.start < g.stop)),
+o AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
+s AS (SELECT c.*, owners, length(value) >= 12 AND len(list_distinct(string_split(value, ''))) >= least(8, length(value)) AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') AS live FROM c JOIN o USING (value) WHERE kind < 4 OR owners = 1),
+r AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {write} FILTER (kind < 3) AS base, {write} AS spans, count(*) AS n, count(*) FILTER (owners >= 3) AS copied, count(*) FILTER (owners = 1) AS owned, count(*) FILTER (owners = 1 AND live) AS live FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+coalesce(n, 0)::BIGINT AS n_spans, coalesce(copied, 0)::BIGINT AS n_copied, coalesce(owned, 0)::BIGINT AS n_owned, coalesce(live, 0)::BIGINT AS n_live FROM d LEFT JOIN r USING (rid)"""
+
+
+ORACLE["op2_secrets"] = _secrets_sql()
+
+
 def oracle_sql() -> dict:
     """SQL of the operators that SQL can express; the others are tested against libraries and brute force."""
     return dict(ORACLE)
