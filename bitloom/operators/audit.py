@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateKey, MissingKey
+from ..plans.tables import running_sum
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -115,8 +116,12 @@ def nearest_rank(df: DataFrame, value: str, shares: list[float], by: list[str] |
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("to", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    if by:
+        up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("to", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    else:
+        n = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        ranked = running_sum(counts, [F.col(value)], F.col("c"), "to").withColumn("n", F.lit(n))
     each = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in shares])))
     at = F.rint((F.col("n") - 1) * F.col("p"))
     return each.where((at >= F.col("to") - F.col("c")) & (at < F.col("to"))).select(*by, "p", value)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig, OutOfRange
 from ..layout import bits_needed
+from ..plans.tables import running_sum, with_previous
 
 MOST_RUN, MOST_LITERALS, MOST_CODE = 136, 135, 24
 
@@ -130,14 +131,16 @@ def huffman_size(codes: DataFrame, blocks: int, deviation_bits: int) -> DataFram
 
 
 def deltas(bases: DataFrame, key: str = "k0", group: str | None = None) -> DataFrame:
-    """bases with ``delta`` = previous - this - 1 in descending key order; null of the first.
+    """bases with ``delta`` = previous - this - 1 in descending key order (of a group's rows, or of all); null of the first.
 
-    Keys are words of up to 62 bits. Without a group the order is global and one task sees all bases; a
-    dictionary's bases are few. Equal keys are an error.
+    Keys are words of up to 62 bits; equal keys are an error. The global order is range-partitioned.
     """
-    w = Window.partitionBy(group or F.lit(0)).orderBy(F.col(key).desc())
-    d = F.lag(key).over(w) - F.col(key) - 1
-    return bases.withColumn("delta", F.when(d < 0, F.raise_error(F.lit("equal keys in a delta dictionary")).cast("long")).otherwise(d))
+    if group:
+        own = bases.withColumn("_before", F.lag(key).over(Window.partitionBy(group).orderBy(F.col(key).desc())))
+    else:
+        own = with_previous(bases, [F.col(key).desc()], key, "_before")
+    d = F.col("_before") - F.col(key) - 1
+    return own.withColumn("delta", F.when(d < 0, F.raise_error(F.lit("equal keys in a delta dictionary")).cast("long")).otherwise(d)).drop("_before")
 
 
 def tiered(delta_rows: DataFrame, unary: bool, overflow_bits: int) -> DataFrame:
@@ -154,8 +157,8 @@ def tiered(delta_rows: DataFrame, unary: bool, overflow_bits: int) -> DataFrame:
 
 def undelta(rows: DataFrame, first: int, order: str = "rank") -> DataFrame:
     """Keys again: the first one minus the running sum of delta + 1."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("key", F.lit(first) - F.sum(F.coalesce(F.col("delta") + 1, F.lit(0))).over(w))
+    summed = running_sum(rows, [F.col(order)], F.col("delta") + 1, "_s")
+    return summed.withColumn("key", F.lit(first) - F.col("_s")).drop("_s")
 
 
 def bit_length_histogram(delta_rows: DataFrame) -> DataFrame:

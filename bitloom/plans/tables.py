@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,17 +16,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _ranged(df: DataFrame, order: list) -> DataFrame:
+    """Range partitions, sorted each; ``_at`` has the partition above bit 33 and the place in it below."""
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def _starts(totals: dict[int, int]):
+    """A column with the sum of all partitions before the row's own."""
+    total, offsets = 0, {}
+    for p in sorted(totals):
+        offsets[p], total = total, total + totals[p]
+    return F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv])[F.shiftright("_at", 33)]
+
+
 def numbered(df: DataFrame, order: list, name: str = "id") -> DataFrame:
     """Consecutive numbers from 0 in a global order: range partitions, sorted each, with offsets from their counts.
 
     One row per partition reaches the driver.
     """
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = _ranged(df, order)
     counts = {r.p: r["count"] for r in ranged.groupBy(F.shiftright("_at", 33).alias("p")).count().collect()}
-    total, offsets = 0, {}
-    for p in sorted(counts):
-        offsets[p], total = total, total + counts[p]
-    if not offsets:
+    if not counts:
         return ranged.withColumn(name, F.col("_at")).drop("_at")
-    start = F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv])
-    return ranged.withColumn(name, start[F.shiftright("_at", 33)] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    return ranged.withColumn(name, _starts(counts) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+
+
+def running_sum(df: DataFrame, order: list, value, name: str) -> DataFrame:
+    """The sum of a whole-numbered column up to and with each row, in a global order; nulls count as 0.
+
+    Sums run within range partitions; the totals of the partitions before (one row each on the driver) are added.
+    """
+    ranged = _ranged(df.withColumn("_v", F.coalesce(value, F.lit(0)).cast("long")), order)
+    totals = {r.p: r.s for r in ranged.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.sum("_v").alias("s")).collect()}
+    if not totals:
+        return ranged.withColumn(name, F.col("_v")).drop("_at", "_v")
+    w = Window.partitionBy(F.shiftright("_at", 33)).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn(name, _starts(totals) + F.sum("_v").over(w)).drop("_at", "_v")
+
+
+def with_previous(df: DataFrame, order: list, column: str, name: str) -> DataFrame:
+    """Each row with a column of the row before it in a global order (null for the first), by a join on their numbers."""
+    rows = cut(numbered(df, order, "_n"))
+    before = rows.select((F.col("_n") + 1).alias("_n"), F.col(column).alias(name))
+    return rows.join(before, "_n", "left").drop("_n")

@@ -10,7 +10,7 @@ from bitloom.functions import pixels as px
 from bitloom.functions import text as tx
 from bitloom.layout import BitLayout, Feature, bits_needed, parse_crop, parse_rows, position_bits, smallest_width
 from bitloom.operators import audit, bitstats, condensed, dictionary, encode, evaluate, features, pixels, preprocess, profile, sampling, select
-from bitloom.plans.tables import numbered
+from bitloom.plans.tables import numbered, running_sum, with_previous
 
 
 def layout_of(bits, width=1):
@@ -160,6 +160,16 @@ def test_numbered(spark):
     assert numbered(df.limit(0), ["v"], "n").collect() == []
 
 
+def test_running_sum_and_previous(spark):
+    df = spark.range(300).select((F.col("id") * 7 % 300).alias("v"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("x")).repartition(11)
+    rows = sorted((r.v, r.x or 0) for r in df.collect())
+    got = running_sum(df, [F.col("v")], F.col("x"), "s").orderBy("v").collect()
+    assert [r.s for r in got] == np.cumsum([x for _, x in rows]).tolist()
+    before = with_previous(df, [F.col("v").desc()], "v", "p").orderBy("v").collect()
+    assert [r.p for r in before] == [*range(1, 300), None]
+    assert running_sum(df.limit(0), ["v"], F.col("x"), "s").collect() == [] and with_previous(df.limit(0), ["v"], "v", "p").collect() == []
+
+
 def test_run_lengths(spark):
     rnd = np.random.default_rng(3)
     symbols = np.repeat(rnd.integers(0, 4, 300), rnd.integers(1, 9, 300)).tolist() + [7] * 400 + list(range(300))
