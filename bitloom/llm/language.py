@@ -122,16 +122,23 @@ class ByteNetwork:
             out[s : s + rows] = z - np.log(np.exp(z).sum(1, keepdims=True))
         return out
 
-    def predict(self, texts: list, tables=None) -> list[tuple[str, float]]:
-        """(label, probability) of whole texts; und, 0.0 for null texts and texts without a letter."""
+    def predict(self, texts: list, tables=None, piece: int = 4 << 20) -> list[tuple[str, float]]:
+        """(label, probability) of whole texts; und, 0.0 for null texts and texts without a letter.
+
+        Texts of over ``piece`` bytes go a piece after another, at window borders: the result is the same.
+        """
         data, offsets = utf8_bytes(texts)
         result = []
-        for i, j in groups_of_bytes(np.diff(offsets), 4 << 20):
-            x, owner, size = windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], self.window)
-            logp = self.log_probabilities(x, tables)
-            total = np.zeros((j - i, len(self.labels)))
-            np.add.at(total, owner, logp * np.maximum(size, 1)[:, None])
-            total /= np.bincount(owner, np.maximum(size, 1), j - i)[:, None]
+        for i, j in groups_of_bytes(np.diff(offsets), piece):
+            total, weight = np.zeros((j - i, len(self.labels))), np.zeros(j - i)
+            step = max(piece // self.window * self.window, self.window)
+            for at in range(int(offsets[i]), max(int(offsets[j]), int(offsets[i]) + 1), step if j - i == 1 else len(data) + 1):
+                end = min(int(offsets[j]), at + step) if j - i == 1 else int(offsets[j])
+                part = np.clip(offsets[i : j + 1], at, end) - at
+                x, owner, size = windows_of(data[at:end], part, self.window)
+                np.add.at(total, owner, self.log_probabilities(x, tables) * np.maximum(size, 1)[:, None])
+                np.add.at(weight, owner, np.maximum(size, 1))
+            total /= weight[:, None]
             q = np.exp(total - total.max(1, keepdims=True))
             q /= q.sum(1, keepdims=True)
             best = q.argmax(1)

@@ -14,6 +14,7 @@ blocks, and only across components: that can't lose a link that matters to a com
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -75,12 +76,30 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, offsets
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def long_word_hashes(raw: bytes, most: int) -> np.ndarray:
+    """word_hashes of one long text, about ``most`` bytes at a time; pieces end at a blank."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        gap = _GAP.search(raw, at + most)
+        end = gap.start() if gap else len(raw)
+        out.append(word_hashes([raw[at:end]])[0])
+        at = end
+    return np.concatenate(out)
+
+
+def shingle_sets(texts: list[str | None], piece: int = 1 << 22) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     out: list[np.ndarray] = []
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     for i, j in groups_of_bytes(np.array([len(r) for r in raw], np.int64), 1 << 18):
-        h, offsets = word_hashes(raw[i:j])
+        if len(raw[i]) > piece:  # a group of its own
+            h = long_word_hashes(raw[i], piece)
+            offsets = np.array([0, len(h)])
+        else:
+            h, offsets = word_hashes(raw[i:j])
         n = max(0, len(h) - WORDS + 1)
         s = np.zeros(n, np.uint64)
         for k in range(WORDS):

@@ -86,7 +86,7 @@ def _anchored(df: DataFrame, length: int) -> DataFrame:
     return df.mapInArrow(run, "f long, g long, doc long, rid long, at long, known boolean")
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, i: int, j: int, length: int, most: int = 1 << 23):
+def _pieces(data: np.ndarray, offsets: np.ndarray, i: int, j: int, length: int, most: int = 1 << 20):
     """(start in the text, bytes, offsets) of texts i to j; a single very long text goes in pieces that overlap so that each string lies in one."""
     base, end = int(offsets[i]), int(offsets[j])
     if end - base <= most:

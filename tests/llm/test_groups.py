@@ -91,6 +91,12 @@ def test_near_duplicates_empty(spark):
     assert found(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_long_texts_in_pieces():
+    texts = ["A few words " * 400 + "end", "x" * 3000 + " y z\tw v u", "", "  lead " * 300]
+    for a, b in zip(minhash.shingle_sets(texts), minhash.shingle_sets(texts, piece=500)):
+        assert (a == b).all()
+
+
 def test_odd_sketch_estimates():
     rnd = np.random.default_rng(1)
     for similarity in (0.75, 0.9):

@@ -146,3 +146,10 @@ def test_language_tables_equal_the_network():
     z = np.maximum(pooled, 0) @ net.p["o"]
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     assert np.allclose(z, net.log_probabilities(x), atol=1e-4)
+
+
+def test_language_of_long_texts_in_pieces():
+    net = language.ByteNetwork(["a", "b"], window=64)
+    texts = ["some words " * 200, "x", "é" * 333, None, "other words here " * 90]
+    whole, parts = net.predict(texts), net.predict(texts, piece=640)
+    assert [w[0] for w in whole] == [p[0] for p in parts] and np.allclose([w[1] for w in whole], [p[1] for p in parts])
