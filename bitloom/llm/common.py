@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,12 @@ class WordCache(dict):
             self[key] = value
         return value
 
-    def forget(self) -> None:
+    def forget(self, keep: int = 100_000) -> None:
+        """Keep the keys that came first, which are the frequent ones; the rest of the memory is free again."""
+        first = dict(islice((self.old or self).items(), keep))
         self.old = {}
         self.clear()
+        self.update(first)
 
     def all(self, keys: list) -> list:
         out = list(map(self.__getitem__, keys))

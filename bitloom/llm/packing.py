@@ -172,7 +172,7 @@ class Tokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), WordCache(self._encoded)
+        self.tokenizer, self.words = Tokenizer.from_file(path), WordCache(self._encoded, cap=400_000)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -234,7 +234,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits()
 
     A null text counts as empty and still has its end id. Documents are told apart by row, so repeated rows
     and repeated ids are packed each for itself. All ids of a document are loss-bearing. A task holds at most
-    about ``chunk_tokens`` ids (or 1000 documents) at a time. Other columns are ignored.
+    about ``chunk_tokens`` ids (or 500 documents) at a time. Other columns are ignored.
     """
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
 
@@ -256,7 +256,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits()
     def run(batches):
         tokenizer, packer = _tokenizer(tokenizer_path), Packer(limits)
         base, docs, ids, held = TaskContext.get().partitionId() << 40, [], [], 0
-        for part in slices(batches, 1000):
+        for part in slices(batches, 500):
             flat, offsets = tokenizer.all([t or "" for t in part.column(1).to_pylist()], end_id)
             docs += part.column(0).to_pylist()
             ids += [flat[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
