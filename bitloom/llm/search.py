@@ -3,7 +3,8 @@
 A vector is stored as the sum of one full-dimensional codeword from each of several codebooks, found by a
 beam search, and the squared norm of that sum. Codebooks start from residual k-means and are refitted by least
 squares to the codes of the beam search. A query scores rows by look-up tables of its scalar products with all
-codewords and the stored norms; the best of each block are then ranked by exact distances.
+codewords and the stored norms. The best of each block are ranked by exact distances; then every other row is ranked
+too, unless a bound from its score and its quantisation error, or its scalar product, proves that it is farther.
 """
 
 from __future__ import annotations
@@ -53,6 +54,20 @@ class AdditiveQuantizer:
         self.books = books
         flat = books.reshape(-1, books.shape[2])
         self.gram, self.norms = flat @ flat.T, (books**2).sum(2)
+        self.reach = float(np.sqrt(self.norms.max(1)).sum())
+
+    def errors(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distances of the scaled vectors to their sums of codewords, rounded up."""
+        rest = x / self.scale
+        for j in range(len(self.books)):
+            rest = rest - self.books[j][codes[:, j]]
+        return np.sqrt((rest * rest).sum(1)) * (1 + 1e-9) + 1e-12 * self.reach
+
+    def least(self, q: np.ndarray, scores: np.ndarray, errors: np.ndarray) -> np.ndarray:
+        """(queries, rows): what distances are at least, by the triangle inequality and with a margin for rounding."""
+        norm = ((q / self.scale) ** 2).sum(1)[:, None]
+        margin = 1e-12 * (np.sqrt(norm) + self.reach) ** 2
+        return (np.sqrt(np.maximum(norm + scores - margin, 0)) - errors[None]) * (self.scale * (1 - 1e-9))
 
     def encode(self, x: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n, m) and squared norms of the sums, by beam search over the codebooks in their order."""
@@ -99,25 +114,27 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def index(rows: DataFrame, quantizer: AdditiveQuantizer, blocks: int) -> DataFrame:
-    """id, v, codes, norm, block of every row."""
+    """id, v, codes, norm, error, block of every row."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                codes, norms = quantizer.encode(matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms)], names=["id", "v", "codes", "norm"])
+                x = matrix(batch.column(1))
+                codes, norms = quantizer.encode(x)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms), pa.array(quantizer.errors(x, codes))], names=["id", "v", "codes", "norm", "error"])
 
-    return rows.select("id", "v").mapInArrow(run, "id long, v binary, codes binary, norm double").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return rows.select("id", "v").mapInArrow(run, "id long, v binary, codes binary, norm double, error double").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
 
 def search(df: DataFrame, every: int = 100, k: int = 10, shortlist: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096, block_queries: int = 1024, fit_rows: int = 16_384) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``.
+    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by ``every``.
 
     Distances are Euclidean, in double precision, on the original vectors; ties go to the smaller id. A query's
     own id is no candidate. Null ids and vectors that are null, empty, zero or hold null or non-finite components take
     no part, and only vectors of one length meet. Queries go in blocks against blocks of all rows; in each, the
-    ``shortlist`` best by look-up are ranked exactly, so a block of at most that many rows is exact. Rows that
-    share an id are candidates each for itself. The quantiser sees a bounded sample; every row is indexed.
+    ``shortlist`` best by look-up give a distance within which the k nearest lie, and all rows not proven to be farther
+    are ranked, so the result is exact; the shortlist only sets the work. Rows that share an id are candidates each for
+    itself. The quantiser sees a bounded sample; every row is indexed.
     """
     own = cut(usable(df, id_col, vec_col).where("v is not null and id is not null").select("id", "d", "v"))
     spark, out = df.sparkSession, None
@@ -142,6 +159,20 @@ def matrix_of(rows: DataFrame, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(sorted(bytes(r.v) for r in rows.select("v").limit(64).collect())), np.float64).reshape(-1, d)
 
 
+def _within(q: np.ndarray, x: np.ndarray, most: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and distance of all pairs in ``maybe`` (queries, rows) that are at most ``most`` (queries) apart."""
+    some = np.flatnonzero(maybe.any(0))
+    top = max(np.abs(q).max(), np.abs(x).max())
+    u, w = q / top, x[some] / top
+    norms = (u * u).sum(1)[:, None] + (w * w).sum(1)[None]
+    far = norms - 2 * (u @ w.T) > ((most / top) ** 2 * (1 + 1e-9))[:, None] + 1e-12 * norms + 1e-300
+    a, b = np.nonzero(maybe[:, some] & ~far)
+    b = some[b]
+    d = np.concatenate([np.zeros(0), *(distances(q[a[s : s + 32_768]], x[b[s : s + 32_768], None])[:, 0] for s in range(0, len(a), 32_768))])
+    ok = d <= most[a]
+    return a[ok], b[ok], d[ok]
+
+
 def _meeting(quantizer: AdditiveQuantizer, k: int, shortlist: int):
     """The best rows of a block for each query of a group."""
 
@@ -152,21 +183,21 @@ def _meeting(quantizer: AdditiveQuantizer, k: int, shortlist: int):
         q, x = matrix(queries.column("v")), matrix(rows.column("v"))
         qid, vid = queries.column("id").to_numpy(), rows.column("id").to_numpy()
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-        norms, parts = rows.column("norm").to_numpy(), []
+        norms, errors, parts = rows.column("norm").to_numpy(), rows.column("error").to_numpy(), []
         for s in range(0, len(q), 128):
             part = slice(s, s + 128)
+            own = qid[part][:, None] == vid[None]
             score = quantizer.scores(q[part], codes, norms)
-            score[qid[part][:, None] == vid[None]] = np.inf
-            n = min(shortlist, len(x))
-            short = np.argpartition(score, n - 1, 1)[:, :n] if n < len(x) else np.repeat(np.arange(len(x))[None], len(score), 0)
-            exact = distances(q[part], x[short])
-            ids = vid[short]
-            exact[ids == qid[part][:, None]] = np.inf
-            order = np.lexsort((ids, exact), axis=1)[:, :k]
-            d, v = np.take_along_axis(exact, order, 1), np.take_along_axis(ids, order, 1)
-            w = np.repeat(qid[part][:, None], order.shape[1], 1)
-            ok = np.isfinite(d)
-            parts.append((w[ok], v[ok], d[ok]))
+            n = min(max(k, shortlist), len(x))
+            short = np.argpartition(np.where(own, np.inf, score), n - 1, 1)[:, :n]
+            exact = np.where(np.take_along_axis(own, short, 1), np.inf, distances(q[part], x[short]))
+            most = np.partition(exact, k - 1, 1)[:, k - 1] if n >= k else np.full(len(exact), np.inf)
+            maybe = ~own & ~(quantizer.least(q[part], score, errors) > most[:, None])
+            a, b, d = _within(q[part], x, most, maybe)
+            order = np.lexsort((vid[b], d, a))
+            a, b, d = a[order], b[order], d[order]
+            ok = np.arange(len(a)) - np.searchsorted(a, a) < k
+            parts.append((qid[part][a[ok]], vid[b[ok]], d[ok]))
         w, v, d = (np.concatenate(z) for z in zip(*parts))
         return pa.table({"query_id": w, "vec_id": v, "score": d})
 

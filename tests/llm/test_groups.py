@@ -189,6 +189,20 @@ def test_search_recall(spark, sf):
     assert len(got & exact) / len(exact) >= 0.9
 
 
+def test_search_is_exact_beyond_the_shortlist(spark, sf):
+    df = spark.read.parquet(f"{sf}/../sf0.1/embeddings.parquet")
+    rows = sorted((r.vec_id, r.embedding) for r in df.collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in search.search(df, every=20).collect()}
+    assert len(rows) > 1000 and len(got) == 10 * len(ids[ids % 20 == 0])
+    for q in ids[ids % 20 == 0]:
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        near = np.lexsort((ids, d))[:10]
+        assert [got[q, r][0] for r in range(1, 11)] == ids[near].tolist()
+        assert np.allclose([got[q, r][1] for r in range(1, 11)], d[near])
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neardup.near_vectors(df).collect() == [] and search.search(df).collect() == []
