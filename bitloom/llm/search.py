@@ -5,6 +5,7 @@ beam search, and the squared norm of that sum. Codebooks start from residual k-m
 squares to the codes of the beam search. A query scores rows by look-up tables of its scalar products with all
 codewords and the stored norms. The best of each block are ranked by exact distances; then every other row is ranked
 too, unless a bound from its score and its quantisation error, or its scalar product, proves that it is farther.
+Equal vectors are one indexed row that carries its smallest ids.
 """
 
 from __future__ import annotations
@@ -18,6 +19,32 @@ from .common import cut, load
 from .vectors import matrix, sample, usable
 
 
+def _smallest(ids: list, k: int) -> list:
+    """The 2 k smallest ids, none more than k times: without any one of them k are left, if there are so many."""
+    ids = sorted(ids)
+    return [x for n, x in enumerate(ids) if n < k or ids[n - k] != x][: 2 * k]
+
+
+def classes(rows: DataFrame, k: int) -> DataFrame:
+    """key, d, v, ids of every distinct vector, with its smallest ids.
+
+    Equal vectors meet within batches first, so the task of one that is very common gets short lists.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, first = {}, {}
+            for n, (key, i) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+                ids.setdefault(key, []).append(i)
+                first.setdefault(key, n)
+            one = batch.take(pa.array(list(first.values()), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*one.columns[:3], pa.array([_smallest(x, k) for x in ids.values()], pa.list_(pa.int64()))], names=["key", "d", "v", "ids"])
+
+    parts = rows.select("key", "d", "v", "id").mapInArrow(run, "key binary, d int, v binary, ids array<long>")
+    met = parts.groupBy("key").agg(F.first("d").alias("d"), F.first("v").alias("v"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return met.withColumn("ids", F.slice(F.filter("ids", lambda x, n: (n < k) | (F.get(F.col("ids"), n - k) != x)), 1, 2 * k))
+
+
 def _kmeans(x: np.ndarray, k: int, rnd, rounds: int = 8) -> np.ndarray:
     c = x[rnd.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
@@ -114,16 +141,16 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def index(rows: DataFrame, quantizer: AdditiveQuantizer, blocks: int) -> DataFrame:
-    """id, v, codes, norm, error, block of every row."""
+    """v, ids, codes, norm, error, block of every distinct vector."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column(1))
+                x = matrix(batch.column(0))
                 codes, norms = quantizer.encode(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms), pa.array(quantizer.errors(x, codes))], names=["id", "v", "codes", "norm", "error"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(norms), pa.array(quantizer.errors(x, codes))], names=["v", "ids", "codes", "norm", "error"])
 
-    return rows.select("id", "v").mapInArrow(run, "id long, v binary, codes binary, norm double, error double").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    return rows.select("v", "ids").mapInArrow(run, "v binary, ids array<long>, codes binary, norm double, error double").withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
 
 
 def search(df: DataFrame, every: int = 100, k: int = 10, shortlist: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 4096, block_queries: int = 1024, fit_rows: int = 16_384) -> DataFrame:
@@ -134,18 +161,19 @@ def search(df: DataFrame, every: int = 100, k: int = 10, shortlist: int = 100, i
     no part, and only vectors of one length meet. Queries go in blocks against blocks of all rows; in each, the
     ``shortlist`` best by look-up give a distance within which the k nearest lie, and all rows not proven to be farther
     are ranked, so the result is exact; the shortlist only sets the work. Rows that share an id are candidates each for
-    itself. The quantiser sees a bounded sample; every row is indexed.
+    itself. Equal vectors are one row of a block and are told apart by their ids at the end. The quantiser sees a
+    bounded sample; every vector is indexed.
     """
-    own = cut(usable(df, id_col, vec_col).where("v is not null and id is not null").select("id", "d", "v"))
+    valid = lambda x: usable(x, id_col, vec_col).where("v is not null and id is not null")
+    own = cut(classes(valid(df), k))
+    asked = cut(valid(df.where(F.col(id_col).cast("long") % every == 0)).select("id", "d", "v"))
     spark, out = df.sparkSession, None
-    for r in own.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).collect():
-        if not r.q:
-            continue
+    for r in own.groupBy("d").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("d").agg(F.count(F.lit(1)).alias("q")), "d").collect():
         same = own.where(F.col("d") == r.d)
         quantizer = AdditiveQuantizer(sample(same, fit_rows, r.n).reshape(-1, r.d) if r.n > 64 else matrix_of(same, r.d))
         blocks, groups = -(-r.n // block_rows), -(-r.q // block_queries)
         rows = index(same, quantizer, blocks).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        queries = same.where(F.col("id") % every == 0).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        queries = asked.where(F.col("d") == r.d).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         part = queries.groupBy("g", "block").cogroup(rows.groupBy("g", "block")).applyInArrow(_meeting(quantizer, k, shortlist), "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -181,23 +209,36 @@ def _meeting(quantizer: AdditiveQuantizer, k: int, shortlist: int):
         if not queries.num_rows or not rows.num_rows:
             return empty
         q, x = matrix(queries.column("v")), matrix(rows.column("v"))
-        qid, vid = queries.column("id").to_numpy(), rows.column("id").to_numpy()
+        qid, lists = queries.column("id").to_numpy(), rows.column("ids").combine_chunks()
+        ids, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        sizes = np.diff(ends, prepend=0)
+        holder, by_id = np.repeat(np.arange(len(x)), sizes), np.argsort(ids, kind="stable")
         codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
         norms, errors, parts = rows.column("norm").to_numpy(), rows.column("error").to_numpy(), []
         for s in range(0, len(q), 128):
             part = slice(s, s + 128)
-            own = qid[part][:, None] == vid[None]
+            left = np.repeat(sizes[None], len(q[part]), 0)  # ids of each row without the query's own
+            first, last = (np.searchsorted(ids, qid[part], side, by_id) for side in ("left", "right"))
+            for i in np.flatnonzero(first < last):
+                np.subtract.at(left[i], holder[by_id[first[i] : last[i]]], 1)
             score = quantizer.scores(q[part], codes, norms)
             n = min(max(k, shortlist), len(x))
-            short = np.argpartition(np.where(own, np.inf, score), n - 1, 1)[:, :n]
-            exact = np.where(np.take_along_axis(own, short, 1), np.inf, distances(q[part], x[short]))
-            most = np.partition(exact, k - 1, 1)[:, k - 1] if n >= k else np.full(len(exact), np.inf)
-            maybe = ~own & ~(quantizer.least(q[part], score, errors) > most[:, None])
+            short = np.argpartition(np.where(left > 0, score, np.inf), n - 1, 1)[:, :n]
+            weight, exact = np.take_along_axis(left, short, 1), distances(q[part], x[short])
+            nearest = np.argsort(np.where(weight > 0, exact, np.inf), 1)
+            enough = np.cumsum(np.take_along_axis(weight, nearest, 1), 1) >= k
+            most = np.take_along_axis(np.take_along_axis(exact, nearest, 1), enough.argmax(1)[:, None], 1)[:, 0]
+            most = np.where(enough[:, -1], most, np.inf)
+            maybe = (left > 0) & ~(quantizer.least(q[part], score, errors) > most[:, None])
             a, b, d = _within(q[part], x, most, maybe)
-            order = np.lexsort((vid[b], d, a))
-            a, b, d = a[order], b[order], d[order]
+            each = sizes[b]
+            at = np.arange(each.sum()) + np.repeat(ends[b] - np.cumsum(each), each)
+            a, d, v = np.repeat(a, each), np.repeat(d, each), ids[at]
+            order = np.lexsort((v, d, a))
+            order = order[v[order] != qid[part][a[order]]]
+            a, d, v = a[order], d[order], v[order]
             ok = np.arange(len(a)) - np.searchsorted(a, a) < k
-            parts.append((qid[part][a[ok]], vid[b[ok]], d[ok]))
+            parts.append((qid[part][a[ok]], v[ok], d[ok]))
         w, v, d = (np.concatenate(z) for z in zip(*parts))
         return pa.table({"query_id": w, "vec_id": v, "score": d})
 

@@ -203,6 +203,25 @@ def test_search_is_exact_beyond_the_shortlist(spark, sf):
         assert np.allclose([got[q, r][1] for r in range(1, 11)], d[near])
 
 
+def test_search_with_many_copies(spark):
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(900, 8))
+    x[rnd.permutation(900)[:400]] = x[0]
+    x[700:730] = x[699]
+    rows = [(int(i), v.tolist(), 0) for i, v in zip(rnd.permutation(900), x)]
+    rows += [(51, x[0].tolist(), 0)] * 25 + [(61, x[0].tolist(), 0)] * 25 + [(1000, (x[0] + 1e-3).tolist(), 0)]
+    df = spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>")
+    met = search.classes(search.usable(df.repartition(7), "vec_id", "embedding"), 10).collect()
+    assert len(met) == len({tuple(r[1]) for r in rows}) and max(len(r.ids) for r in met) == 20
+    want = by_force(rows, 50)
+    runs = [sorted(map(tuple, search.search(df.repartition(n), every=50, block_rows=5000, shortlist=20).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1]
+    for q, near in want.items():
+        mine = [r for r in runs[0] if r[0] == q]
+        assert [r[1:3] for r in mine] == [(n + 1, i) for n, (_, i) in enumerate(near)]
+        assert np.allclose([r[3] for r in mine], [d for d, _ in near])
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert neardup.near_vectors(df).collect() == [] and search.search(df).collect() == []
