@@ -70,15 +70,36 @@ def _found(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col:
     return cut(found.withColumn("found", slim))
 
 
+def _each(found: DataFrame) -> DataFrame:
+    """A row for each candidate."""
+    return found.where(F.size("found") > 0).select("rid", "id", "owner", "repo", F.explode("found").alias("s")).select("rid", "id", "owner", "repo", "s.*")
+
+
+def _frequency(each: DataFrame) -> DataFrame:
+    """h, c, owners and repos of every distinct value."""
+    by_owner = each.select("h", "c", "owner", "repo").distinct().groupBy("h", "c", "owner").agg(F.count(F.lit(1)).alias("repos"))
+    return by_owner.groupBy("h", "c").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+
+
+def values(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = 3) -> DataFrame:
+    """One row per distinct value of the spans of ``scan``: its hash, first kind, spans, owners, repos, live and verdict.
+
+    ``repos`` counts its repositories of every owner. The verdict is copied, owned (one owner) or shared, as in ``scan``.
+    """
+    each = _each(_found(df, id_col, text_col, owner_col, repo_col))
+    one = each.groupBy("h", "c").agg(F.min("kind").alias("k"), F.count(F.lit(1)).alias("n_spans"), F.max("live").alias("live"))
+    verdict = F.when(F.col("owners") >= copied_owners, "copied").when(F.col("owners") == 1, "owned").otherwise("shared")
+    kept = one.join(_frequency(each), ["h", "c"]).where("k < 4 or owners = 1")
+    return kept.select(F.hex("h").alias("value_hash"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1).alias("kind"), "n_spans", "owners", "repos", "live", verdict.alias("verdict"))
+
+
 def _judged(found: DataFrame, salts: int) -> DataFrame:
     """rid, id, all: the spans of rows that have candidates, sorted, with their values' owners and repositories.
 
     Generic spans stay only if one owner alone has the value.
     """
-    each = found.where(F.size("found") > 0).select("rid", "id", "owner", "repo", F.explode("found").alias("s")).select("rid", "id", "owner", "repo", "s.*")
-    by_owner = each.select("h", "c", "owner", "repo").distinct().groupBy("h", "c", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    frequency = by_owner.groupBy("h", "c").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    salted = frequency.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    each = _each(found)
+    salted = _frequency(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     judged = each.drop("owner", "repo").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int")).join(salted, ["h", "c", "salt"])
     per_row = judged.groupBy("rid", "id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners", "repos", "live"))).alias("all"))
     return per_row.withColumn("all", F.filter("all", lambda s: (s["kind"] < 4) | (s["owners"] == 1)))
@@ -118,9 +139,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     return result(_judged(found, salts).select("id", "all").unionByName(empty))
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = "[secret]", salts: int = 16) -> DataFrame:
-    """The rows with every span of ``scan`` replaced by ``mask`` in the text (overlapping spans by one).
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = "[secret]", copied_mask: str = "[copied]", copied_owners: int = 3, salts: int = 16) -> DataFrame:
+    """The rows with every span of ``scan`` replaced by a mask in the text (overlapping spans by one).
 
+    The verdict decides which: ``copied_mask`` where all overlapping values have at least ``copied_owners`` owners and
+    don't look live, so they are examples; else ``mask``.
     Rows without candidates pass as they are; only the others meet their spans in a join. Columns stay as they are
     named and ordered; a null text stays null.
     """
@@ -130,13 +153,18 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     any_ = F.reduce(F.array(*[F.col(text_col).rlike(p) for p in (ASSIGN, ACCESS, HEX, VENDOR, GENERIC)]), F.lit(False), lambda a, b: a | b)
     some = F.coalesce(any_, F.lit(False))
 
+    def shown(tag: Column) -> Column:
+        return F.when(tag, copied_mask).when(~tag, mask).otherwise("")
+
     def step(acc, s):
+        """``tag``: whether the spans since ``out`` ended are all copied; null before the first."""
+        copied, apart = (s["owners"] >= copied_owners) & ~s["live"], s["start"] >= acc["at"]
         gap = F.substr(F.col(text_col), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        out = F.when(apart, F.concat(acc["out"], shown(acc["tag"]), gap)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"), F.when(apart, copied).otherwise(acc["tag"] & copied).alias("tag"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_all", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), (acc["at"] + 1).cast("int"))))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"), F.lit(None).cast("boolean").alias("tag"))
+    done = F.aggregate("_all", zero, step, lambda acc: F.concat(acc["out"], shown(acc["tag"]), F.substr(F.col(text_col), (acc["at"] + 1).cast("int"))))
     touched = rows.where(some).join(spans, "_rid", "left").withColumn(text_col, F.when(F.size("_all") > 0, done).otherwise(F.col(text_col)))
     return rows.where(~some).select(columns).unionByName(touched.select(columns))
 

@@ -77,6 +77,20 @@ def test_secrets_ownership(spark):
     assert got[10].n_owned == 0 and got[10].n_copied == 0 and got[10].n_assign == 1
 
 
+def test_redact_follows_the_verdict(spark):
+    rows = [(i, "password = changeme1 ok", f"o{i % 3}") for i in range(6)] + [(10 + i, "token: qW8zR4tY6uP2 ok", f"o{i}") for i in range(3)]
+    rows += [(20, "secret = aaaaaaaa1", "o1"), (21, "password = changeme1 and token: qW8zR4tY6uP2", "o2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [got[i] for i in range(6)] == ["[copied] ok"] * 6 and [got[10 + i] for i in range(3)] == ["[secret] ok"] * 3
+    assert got[20] == "[secret]" and got[21] == "[copied] and [secret]"
+    assert sorted((r.n_spans, r.owners, r.repos, r.live, r.verdict) for r in secrets.values(df).collect()) == [(1, 1, 1, False, "owned"), (4, 3, 4, True, "copied"), (7, 3, 7, False, "copied")]
+    chain = "token: " + "0" * 32  # two overlapping spans of one value; one owner more has the hex alone
+    rows = [(1, chain, "a"), (2, chain, "b"), (3, "0" * 32, "c")]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, df.schema)).collect()}
+    assert got == {1: "[copied]", 2: "[copied]", 3: "[copied]"}
+
+
 def test_secrets_empty(odd):
     assert secrets.scan(odd.limit(0)).collect() == []
 
