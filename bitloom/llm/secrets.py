@@ -5,7 +5,8 @@ Spans come from regular expressions that run in the JVM: ``split`` gives the gap
 Every candidate value is hashed; the hashes are counted over the whole corpus by distinct owners and
 distinct repositories. A value that many owners have is a copied example; a value of one owner alone
 that looks random is a live-looking credential. Base spans (assign, access, hex) always stay; vendor
-tokens and generic high-entropy strings are added, the latter only where one owner alone has them.
+tokens and long generic strings of letters and digits are added, the latter only where one owner alone has them.
+``scan`` lists every such string; ``redact`` masks those that look random.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}+"
 VENDOR = r"gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 GENERIC = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[0-9+/_-]{0,80}[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2}"
+#: Runs of any length for redact, which tests letters and digits over the whole match.
+LOOSE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}"
+CHANGE = r"[a-z](?=[0-9A-Z])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])"
 KINDS = ("assign", "access", "hex", "vendor", "generic")
 BASE = 3
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your[_-]|xxxx|0123456789|abcdef0123"
@@ -48,24 +52,38 @@ def spans(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{item}>"))
 
 
-def candidates(text: Column) -> Column:
-    """All spans of a text, base ones first; generic ones only where they touch no other span."""
-    firm = [spans(text, 0, ASSIGN, 1, 8), spans(text, 1, ACCESS, 0, 16), spans(text, 2, HEX), spans(text, 3, VENDOR)]
-    firm = reduce(F.concat, firm)
-    loose = F.filter(spans(text, 4, GENERIC), lambda g: ~F.exists(firm, lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-    return F.concat(firm, loose)
-
-
 def live_looking(value: Column) -> Column:
     """Long enough, many distinct characters for its length, and not a placeholder."""
     distinct = F.size(F.array_distinct(F.split(value, "")))
     return (F.length(value) >= 12) & (distinct >= F.least(F.lit(8), F.length(value))) & ~value.rlike(PLACEHOLDER)
 
 
-def _found(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
+def random_looking(value: Column) -> Column:
+    """Live-looking, with a letter and a digit, and letters, digits and cases change once in six characters or more often.
+
+    In a random string they change in every second or third character; in words, paths and file names at few places.
+    """
+    return live_looking(value) & value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (6 * F.regexp_count(value, F.lit(CHANGE)) >= F.length(value))
+
+
+def candidates(text: Column, random: bool = False) -> Column:
+    """All spans of a text, base ones first; generic ones only where they touch no other span.
+
+    With ``random``, generic ones are the runs of any length that look random.
+    """
+    firm = [spans(text, 0, ASSIGN, 1, 8), spans(text, 1, ACCESS, 0, 16), spans(text, 2, HEX), spans(text, 3, VENDOR)]
+    firm = reduce(F.concat, firm)
+    loose = spans(text, 4, LOOSE) if random else spans(text, 4, GENERIC)
+    if random:
+        loose = F.filter(loose, lambda g: random_looking(g["value"]))
+    loose = F.filter(loose, lambda g: ~F.exists(firm, lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
+    return F.concat(firm, loose)
+
+
+def _found(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str, random: bool = False) -> DataFrame:
     """rid, id, owner, repo and the candidates of every row, with hashes in the place of values."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), candidates(text).alias("found"))
+    found = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), candidates(text, random).alias("found"))
     slim = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("h"), F.crc32(s["value"].cast("binary")).alias("c"), live_looking(s["value"]).alias("live")))
     return cut(found.withColumn("found", slim))
 
@@ -140,7 +158,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = "[secret]", copied_mask: str = "[copied]", copied_owners: int = 3, salts: int = 16) -> DataFrame:
-    """The rows with every span of ``scan`` replaced by a mask in the text (overlapping spans by one).
+    """The rows with every span replaced by a mask in the text (overlapping spans by one).
+
+    The spans are those of ``scan``, but generic ones must look random and may be of any length.
 
     The verdict decides which: ``copied_mask`` where all overlapping values have at least ``copied_owners`` owners and
     don't look live, so they are examples; else ``mask``.
@@ -149,8 +169,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """
     columns = df.columns
     rows = df.withColumn("_rid", F.monotonically_increasing_id())
-    spans = _judged(_found(df, id_col, text_col, owner_col, repo_col), salts).select(F.col("rid").alias("_rid"), F.col("all").alias("_all"))
-    any_ = F.reduce(F.array(*[F.col(text_col).rlike(p) for p in (ASSIGN, ACCESS, HEX, VENDOR, GENERIC)]), F.lit(False), lambda a, b: a | b)
+    spans = _judged(_found(df, id_col, text_col, owner_col, repo_col, random=True), salts).select(F.col("rid").alias("_rid"), F.col("all").alias("_all"))
+    any_ = F.reduce(F.array(*[F.col(text_col).rlike(p) for p in (ASSIGN, ACCESS, HEX, VENDOR, LOOSE)]), F.lit(False), lambda a, b: a | b)
     some = F.coalesce(any_, F.lit(False))
 
     def shown(tag: Column) -> Column:

@@ -91,6 +91,18 @@ def test_redact_follows_the_verdict(spark):
     assert got == {1: "[copied]", 2: "[copied]", 3: "[copied]"}
 
 
+def test_redact_spares_words_and_paths(spark):
+    plain = ["docs/install/getting-started-2024", "assets/images/header_background_1920x1080", "content/uploads/2021/07/IMG_20210704_123456", "my_very_long_function_name_v2", "chapter01-introduction-to-algorithms"]
+    rnd = random.Random(7)
+    tokens = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n)) for n in [24, 28, 32, 40, 64] * 20]
+    tokens = [t for t in tokens if re.search("[0-9]", t)]
+    late = "aB" * 45 + "kLmNpQrStUvW3x7Y"  # its first digit comes after 80 characters
+    rows = [(i, f"see {t} there") for i, t in enumerate(plain + tokens + [late])]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame([(*r, "o") for r in rows], "doc_id long, text string, source string")).collect()}
+    assert [got[i] for i in range(len(plain))] == [f"see {t} there" for t in plain]
+    assert sum(got[i] == "see [secret] there" for i in range(len(plain), len(rows) - 1)) >= len(tokens) - 1 > 90 and got[len(rows) - 1] == "see [secret] there"
+
+
 def test_secrets_empty(odd):
     assert secrets.scan(odd.limit(0)).collect() == []
 
