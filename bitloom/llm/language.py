@@ -166,11 +166,35 @@ def training_rows(df: DataFrame, per_label: int = 400, id_col: str = "doc_id", t
     return sorted((r.id if r.id is not None else -1, r.text, r.label) for r in rows)
 
 
-def fit(df: DataFrame, per_label: int = 400, window: int = 512, **cols) -> ByteNetwork | None:
-    """Train on ``training_rows``; None if there are no labelled rows (then every text is und)."""
+#: First and last letters of scripts, for texts in no learned language.
+SCRIPTS = ((0x61, 0x7A), (0xE0, 0xF6), (0x100, 0x17F), (0x3B1, 0x3C9), (0x430, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x628, 0x63A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3042, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
+
+def junk(texts: list[str], seed: int = 13) -> list[str]:
+    """The texts with every letter drawn anew: half of them from their own letters, all alike, half from one script that they don't use."""
+    rnd = np.random.default_rng(seed)
+    own = sorted({c for t in texts for c in t if c.isalpha()})
+    seen = set(own)
+    other = [[chr(c) for c in range(a, b + 1)] for a, b in SCRIPTS if not any(chr(c) in seen for c in range(a, b + 1))]
+    out = []
+    for n, t in enumerate(texts):
+        letters = other[n // 2 % len(other)] if n % 2 and other else own
+        drawn = iter(rnd.integers(0, len(letters), len(t)).tolist())
+        out.append("".join(letters[next(drawn)] if c.isalpha() else c for c in t))
+    return out
+
+
+def fit(df: DataFrame, per_label: int = 400, window: int = 512, background: bool = False, **cols) -> ByteNetwork | None:
+    """Train on ``training_rows``; None if there are no labelled rows (then every text is und).
+
+    With ``background``, und is a label of its own, learned from ``junk`` of about ``per_label`` of these rows.
+    """
     rows = [r for r in training_rows(df, per_label, **cols) if has_letter(r[1])]
     if not rows:
         return None
+    if background:
+        texts = [r[1] for r in rows]
+        rows = rows + [(-1, t, UNKNOWN) for t in junk(texts[:: max(1, len(texts) // per_label)])]
     labels = sorted({r[2] for r in rows})
     data, offsets = utf8_bytes([r[1] for r in rows])
     x, owner, _ = windows_of(data, offsets, window)

@@ -15,9 +15,14 @@ from bitloom.llm.common import small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those that no language fits better than by chance (mixed ones stay)."""
+    """Drop documents without a letter and those in no learned language (mixed ones stay).
+
+    What fits no language has a label of its own, learned from letter junk and foreign scripts, so a document stays if a
+    language fits it better than that, with more than its share by chance.
+    """
     small_batches(spark)
-    return language.accepted(docs, language.fit(docs), least=0.35)
+    model = language.fit(docs, background=True)
+    return language.accepted(docs, model, least=1 / len(model.labels) if model else 0.0)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,6 +90,16 @@ def test_stages(spark, rows, tmp_path):
     assert sizes[0] > sizes[1]
 
 
+def test_language_rejects_what_was_not_learned(spark, rows):
+    rnd = random.Random(5)
+    letters = lambda a, n: " ".join("".join(rnd.choice(a) for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    odd = [letters("αβγδεζηθικλμνξοπρστυφχψω", 40), letters("абвгдежзийклмнопрстуфхцчшщыьэюя", 40), letters("bcdfghjklmnpqrstvwxzäöüß", 60), letters("漢字仮名交文日本語", 30)]
+    mixed = [a[1] + " " + b[1] for a, b in zip([r for r in rows[:60] if r[2] == "en"][:5], [r for r in rows[:60] if r[2] == "de"][:5])]
+    more = [(1000 + i, t, None, "z", len(t)) for i, t in enumerate(odd + mixed)]
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows + more, COLUMNS), "").collect()}
+    assert kept == {r[0] for r in rows} - {200, 201, 202} | {1004, 1005, 1006, 1007, 1008}
+
+
 def test_redact_overlaps_and_nulls(spark):
     a = "q9" * 20
     df = spark.createDataFrame([(1, f"x token: {a} é secret=abcdefgh", "s", 1), (2, None, "s", 1), (3, "", None, 1), (4, "plain", "s", 1), (4, "plain", "s", 1), (5, "token=short", "s", 1), (6, "é" + "0" * 40 + "😀AKIA" + "A" * 20, "t", 1)], "doc_id long, text string, source string, rid int")
