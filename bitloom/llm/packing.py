@@ -229,19 +229,22 @@ def _tokenizer(path: str) -> Tokenizer:
     return _STATE[path]
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, chunk_tokens: int = 2_000_000, with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, chunk_tokens: int = 2_000_000, with_ids: bool = False, loss_col: str | None = None) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A null text counts as empty and still has its end id. Documents are told apart by row, so repeated rows
-    and repeated ids are packed each for itself. All ids of a document are loss-bearing. A task holds at most
-    about ``chunk_tokens`` ids (or 500 documents) at a time. Other columns are ignored.
+    and repeated ids are packed each for itself. ``loss_col`` gives how many of a document's
+    ids, its last ones with the end id, bear loss (below 0 counts as 0, more than there are as all, null as all);
+    without it all do. A task holds at most about ``chunk_tokens`` ids (or 500 documents) at a time. Other columns are
+    ignored.
     """
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
 
-    def flush(docs, ids, packer, base):
+    def flush(docs, ids, bearing, packer, base):
         lengths = np.array([len(x) for x in ids], np.int64)
+        loss = np.array([n if k is None else min(max(k, 0), n) for k, n in zip(bearing, lengths.tolist())], np.int64) if loss_col else lengths
         rows = []
-        bins = packer.pack(lengths, lengths)
+        bins = packer.pack(lengths, loss)
         for s, b in enumerate(bins):
             offset = 0
             for i, start, n in b:
@@ -255,22 +258,27 @@ def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits()
 
     def run(batches):
         tokenizer, packer = _tokenizer(tokenizer_path), Packer(limits)
-        base, docs, ids, held = TaskContext.get().partitionId() << 40, [], [], 0
+        base, docs, ids, bearing, held = TaskContext.get().partitionId() << 40, [], [], [], 0
         for part in slices(batches, 500):
             flat, offsets = tokenizer.all([t or "" for t in part.column(1).to_pylist()], end_id)
             docs += part.column(0).to_pylist()
             ids += [flat[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            if loss_col:
+                bearing += part.column(2).to_pylist()
             held += len(flat)
             if held >= chunk_tokens:
-                out, n = flush(docs, ids, packer, base)
+                out, n = flush(docs, ids, bearing, packer, base)
                 yield out
-                base, docs, ids, held = base + n, [], [], 0
+                base, docs, ids, bearing, held = base + n, [], [], [], 0
         if docs:
-            yield flush(docs, ids, packer, base)[0]
+            yield flush(docs, ids, bearing, packer, base)[0]
         tokenizer.words.forget()
         give_back()
 
-    return df.selectExpr(f"cast(`{id_col}` as long) as `{id_col}`", f"cast(`{text_col}` as string) as `{text_col}`").mapInArrow(run, schema)
+    columns = [f"cast(`{id_col}` as long) as `{id_col}`", f"cast(`{text_col}` as string) as `{text_col}`"]
+    if loss_col:
+        columns.append(f"cast(`{loss_col}` as long) as _loss")
+    return df.selectExpr(*columns).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

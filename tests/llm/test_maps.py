@@ -96,6 +96,23 @@ def test_packing(which, limits, chunk, request):
         assert padding <= 0.01 * used.sum()
 
 
+def test_packing_loss_column(spark):
+    limits = packing.Limits(64, 8, 20)
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice(["red", "house", "river", "tree"]) for _ in range(rnd.randint(1, 90))), rnd.choice([0, 3, 10, 500, None, -4])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, answer int")
+    got = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json"), limits, loss_col="answer").collect()
+    tokens, bearing, whole = {}, {}, {}
+    for r in got:
+        k = rows[r.doc_id][2]
+        k = r.doc_tokens if k is None else min(max(k, 0), r.doc_tokens)
+        tokens[r.sequence_id] = tokens.get(r.sequence_id, 0) + r.length
+        bearing[r.sequence_id] = bearing.get(r.sequence_id, 0) + max(0, r.start + r.length - max(r.start, r.doc_tokens - k))
+        whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
+    assert max(tokens.values()) == 64 and max(bearing.values()) == 20
+    assert whole == {r.doc_id: r.doc_tokens for r in got} and len(whole) == len(rows)
+
+
 def test_packing_loss_limit():
     rnd = np.random.default_rng(2)
     n = rnd.integers(1, 90, 400)
