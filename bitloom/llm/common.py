@@ -3,22 +3,43 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) make one."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only a single-machine session may go without it."""
     if spark.sparkContext.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="bitloom-"))
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The user's whole row (or some columns) as one column, with places for names, so that none clashes."""
+    places = [col(c).alias(f"c{i}") for i, c in enumerate(df.columns if columns is None else columns)]
+    return F.struct(*(places or [F.lit(True).alias("none")]))
+
+
+def unboxed(df: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The rows that ``boxed`` packed as ``box``, under their names; ``changed`` gives new values of some."""
+    changed = changed or {}
+    return df.select(*[changed.get(c, F.col(f"box.c{i}")).alias(c) for i, c in enumerate(columns)])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a small intermediate in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

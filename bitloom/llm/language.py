@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import groups_of_bytes, load, slices, utf8_bytes
+from .common import boxed, col, groups_of_bytes, load, slices, utf8_bytes
 
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
@@ -147,22 +148,26 @@ class ByteNetwork:
 
 
 def held_out(id_col: str = "doc_id"):
-    return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4) == 2
+    return (F.crc32(col(id_col).cast("string").cast("binary")) % 4) == 2
 
 
-def training_rows(df: DataFrame, per_label: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", prefix: int = 4096) -> list:
+def training_rows(df: DataFrame, per_label: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", pieces: int = 8, piece: int = 512) -> list:
     """A sample of labelled rows for fitting, about ``per_label`` of each label, by a hash of the id.
 
-    Bounded by the parameters: labels times about per_label rows of at most ``prefix`` characters each. Only
+    Bounded by the parameters: labels times about per_label rows. A text of more than ``pieces * piece`` characters
+    gives that many pieces, spread evenly from its first to its last character; a shorter one is taken whole. Only
     fitting uses it; held-out rows and null labels or texts are never in it.
     """
-    own = df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text", f"`{label_col}` as label").where(F.col("label").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out("id"), F.lit(False)))
+    own = df.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), col(label_col).cast("string").alias("label")).where(F.col("label").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out("id"), F.lit(False)))
     counts = {r.label: r.n for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
     u = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_003)) / 1_000_003.0
-    rows = own.where(u < share[F.col("label")]).select("id", F.substring("text", 1, prefix).alias("text"), "label").collect()
+    apart = (F.length("text") - piece) / (pieces - 1)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substr(F.col("text"), (F.floor(k * apart) + 1).cast("int"), F.lit(piece)))
+    text = F.when(F.length("text") <= pieces * piece, F.col("text")).otherwise(F.array_join(spread, " "))
+    rows = own.where(u < share[F.col("label")]).select("id", text.alias("text"), "label").collect()
     return sorted((r.id if r.id is not None else -1, r.text, r.label) for r in rows)
 
 
@@ -209,15 +214,16 @@ def fit(df: DataFrame, per_label: int = 400, window: int = 512, background: bool
 def identify(df: DataFrame, model: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, and the columns of ``keep``.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is everything without a model.
-    Windows cover whole texts; rows are independent, nothing is shuffled. A label's ties go to the
-    alphabetically first. Null ids aren't held out.
+    Null and empty texts and texts without a letter are ``und`` with score 0, as is everything without a model.
+    Windows cover whole texts of any length; rows are independent, repeated ones get equal answers, nothing is
+    shuffled, and an empty table gives an empty table. A label's ties go to the alphabetically first. Null ids aren't
+    held out. A column c of ``keep`` comes back as ``_keep_c``; on the way they are packed in one, so no name can clash.
     """
     keep = keep or []
-    fields = {f.name: f for f in df.schema}
-    src = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    schema = f"{id_col} long, held_out boolean, lang_pred string, score double"
-    schema += "".join(f", `_keep_{c}` {fields[c].dataType.simpleString()}" for c in keep)
+    src = df.select(col(id_col).cast("long").alias("id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), col(text_col).cast("string").alias("text"), *([boxed(df, keep).alias("box")] if keep else []))
+    schema = StructType.fromDDL("id long, held_out boolean, lang_pred string, score double")
+    if keep:
+        schema = schema.add(src.schema["box"])
 
     def run(batches):
         tables = model.tables() if model else None
@@ -225,27 +231,31 @@ def identify(df: DataFrame, model: ByteNetwork | None, id_col: str = "doc_id", t
             texts = batch.column(2).to_pylist()
             got = model.predict(texts, tables) if model else [(UNKNOWN, 0.0)] * len(texts)
             cols = [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            cols += [batch.column(3 + k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "held_out", "lang_pred", "score", *(f"_keep_{c}" for c in keep)])
+            yield pa.RecordBatch.from_arrays([*cols, *([batch.column(3)] if keep else [])], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    out = src.mapInArrow(run, schema)
+    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", *[F.col(f"box.c{i}").alias(f"_keep_{c}") for i, c in enumerate(keep)])
 
 
 def accepted(df: DataFrame, model: ByteNetwork | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is identified with a probability of at least ``least``.
 
-    Null texts and texts without a letter go; without a model (no labelled rows) every text with a letter stays.
+    Null and empty texts and texts without a letter go; without a model (no labelled rows) every text with a letter
+    stays. Whole texts of any length are read; repeated rows fare alike; an empty table stays empty. Columns are packed in one on the
+    way, so names with dots or of any inner column do no harm.
     """
-    at = df.columns.index(text_col)
+    others = [c for c in df.columns if c != text_col]
+    box = df.select(col(text_col).cast("string").alias("text"), boxed(df, others).alias("box"))
+    places = {c: F.col(f"box.c{i}") for i, c in enumerate(others)} | {text_col: F.col("text").cast(df.schema[text_col].dataType)}
 
     def run(batches):
         tables = model.tables() if model else None
         for batch in slices(batches):
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(0).to_pylist()
             got = model.predict(texts, tables) if model else [(None, 1.0) if t is not None and has_letter(t) else (UNKNOWN, 0.0) for t in texts]
             yield batch.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return box.mapInArrow(run, box.schema).select(*[places[c].alias(c) for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups_of_bytes, load, slices
+from .common import col, cut, groups_of_bytes, load, slices
 from .components import connected, roots
 
 SAMPLES, ROWS, BITS, WORDS = 128, 4, 512, 5
 BANDS = SAMPLES // ROWS
 _rnd = np.random.default_rng(20240607)
-_BYTE = _rnd.integers(0, 2**64, 256, np.uint64)
-_P = np.uint64(0x9E3779B97F4A7C13)  # odd, 3 mod 8
-_PINV = np.uint64(pow(int(_P), -1, 2**64))
-_Q = _rnd.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_Q = _rnd.integers(0, 2**63, (WORDS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
 _A = (_rnd.integers(0, 2**31, SAMPLES, np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rnd.integers(0, 2**32, SAMPLES, np.uint32)
-_SEP = np.zeros(256, bool)
-_SEP[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,33 +41,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+class _Digests(dict):
+    """128-bit digests of words; short words are kept, up to ``cap`` of them."""
 
+    cap, longest = 150_000, 64
 
-def _powers(n: int):
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_P, _PINV)):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= self.longest:
+            if len(self) >= self.cap:
+                self.clear()
+            self[word] = digest
+        return digest
+
+
+_DIGESTS = _Digests()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased), and the offsets (len + 1) of each text's words."""
-    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(np.concatenate([[1], sizes[:-1] + 1])) if len(texts) else np.zeros(0, np.int64)
-    edge = np.flatnonzero(np.diff(_SEP[data].view(np.int8)))  # a word lies behind each even one, up to the next
-    first, last = edge[0::2] + 1, edge[1::2] + 1
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * up[:-1], out=total[1:])
-    h = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    """(n, 2) digests of all words (A-Z lower-cased), and the offsets (len + 1) of each text's words."""
+    words = [t.lower().split() for t in texts]  # of bytes: A-Z alone, and blanks and 0x09-0x0D
     offsets = np.zeros(len(texts) + 1, np.int64)
-    offsets[:-1] = np.searchsorted(first, starts)
-    offsets[-1] = len(first)
-    return h, offsets
+    np.cumsum([len(w) for w in words], out=offsets[1:])
+    raw = b"".join(map(_DIGESTS.__getitem__, chain.from_iterable(words)))
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2), offsets
 
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -81,7 +72,7 @@ _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 def long_word_hashes(raw: bytes, most: int) -> np.ndarray:
     """word_hashes of one long text, about ``most`` bytes at a time; pieces end at a blank."""
-    out, at = [np.zeros(0, np.uint64)], 0
+    out, at = [np.zeros((0, 2), np.uint64)], 0
     while at < len(raw):
         gap = _GAP.search(raw, at + most)
         end = gap.start() if gap else len(raw)
@@ -90,29 +81,38 @@ def long_word_hashes(raw: bytes, most: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shingle_sets(texts: list[str | None], piece: int = 1 << 22) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def _shingles(h: np.ndarray, half: int) -> np.ndarray:
+    n = max(0, len(h) - WORDS + 1)
+    s = np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        s += h[k : k + n, half] * _Q[k, half]
+    return mix(s)
+
+
+def shingle_sets(texts: list[str | None], piece: int = 1 << 22, wide: bool = False) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; with ``wide``, (n, 2) of them: the hash and 64 bits more."""
     out: list[np.ndarray] = []
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    halves = (0, 1) if wide else (0,)
     for i, j in groups_of_bytes(np.array([len(r) for r in raw], np.int64), 1 << 18):
         if len(raw[i]) > piece:  # a group of its own
             h = long_word_hashes(raw[i], piece)
             offsets = np.array([0, len(h)])
         else:
             h, offsets = word_hashes(raw[i:j])
-        n = max(0, len(h) - WORDS + 1)
-        s = np.zeros(n, np.uint64)
-        for k in range(WORDS):
-            s += h[k : k + n] * _Q[k]
-        s = mix(s)
+        s = [_shingles(h, k) for k in halves]
         for a, b in zip(offsets[:-1], offsets[1:]):
             if b - a >= WORDS:
-                out.append(np.unique(s[a : b - WORDS + 1]))
-            elif b > a:
-                short = mix(np.array([(h[a:b] * _Q[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
-                out.append(short)
+                own = [x[a : b - WORDS + 1] for x in s]
+            elif b > a:  # one shingle, told apart from longer ones by its number of words
+                own = [mix(np.array([(h[a:b, k] * _Q[: b - a, k]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)) for k in halves]
             else:
-                out.append(np.zeros(0, np.uint64))
+                own = [np.zeros(0, np.uint64) for _ in halves]
+            if wide:
+                first, at = np.unique(own[0], return_index=True)
+                out.append(np.stack([first, own[1][at]], 1))
+            else:
+                out.append(np.unique(own[0]))
     return out
 
 
@@ -169,7 +169,7 @@ def profile(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             cols.append(pa.array([o.tobytes() for o in odd_sketches(m)], pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "id", "n_shingles", "key", "bands", "sketch"])
 
-    return df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _popcounts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def sketched(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
 
 
 def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, s): the sorted shingle hashes, as bytes, of the documents whose ids are listed."""
+    """(id, s): the sorted 128-bit shingle hashes, as bytes, of the documents whose ids are listed."""
 
     def pack(batches):  # texts make up most of what is shuffled here
         for batch in slices(batches):
@@ -204,15 +204,23 @@ def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
 
     def run(batches):
         for batch in slices(batches):
-            got = shingle_sets([zstandard.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(1).to_pylist()])
+            got = shingle_sets([zstandard.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(1).to_pylist()], wide=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "s"])
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, "id long, z binary")
+    texts = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(pack, "id long, z binary")
     return texts.join(ids.select("id").distinct(), "id").select("id", "z").mapInArrow(run, "id long, s binary")
 
 
+def _wide(s: bytes) -> np.ndarray:
+    return np.frombuffer(s, np.uint64).reshape(-1, 2)
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    inter = len(np.intersect1d(x, y, assume_unique=True))
+    """Whether 100 * intersection >= percent * union of two sets of 128-bit hashes, sorted by their first halves."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
+    inter = int(np.count_nonzero(x[i, 1] == y[j, 1]))
     return 100 * inter >= percent * (len(x) + len(y) - inter)
 
 
@@ -222,7 +230,7 @@ def verified(pairs: DataFrame, df: DataFrame, percent: int, id_col: str, text_co
 
     def run(batches):
         for part in slices(batches):
-            ok = pa.array([similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(part.column(2), part.column(3))], pa.bool_())
+            ok = pa.array([similar(_wide(x.as_py()), _wide(y.as_py()), percent) for x, y in zip(part.column(2), part.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
 
     both = pairs.join(own.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(own.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
@@ -256,18 +264,19 @@ def families(rows: DataFrame, similarity: float, block: int = 256) -> DataFrame:
     return connected(dealt.groupBy("h", "i", "j").applyInArrow(run, "a long, b long"))
 
 
-def within_families(rows: DataFrame, percent: int, similarity: float, block: int = 256) -> DataFrame:
+def within_families(rows: DataFrame, sizes: DataFrame, percent: int, similarity: float, block: int = 256, block_shingles: int = 1 << 20) -> DataFrame:
     """Links (a, b) between components, by the full sets, of rows (family, rep, component, sketch, s).
 
-    The largest component of a family is compared with the other members only, and these with each other, in
-    pairs of blocks. Within a task the likeliest pairs come first, and pairs that links found so far have
+    ``sizes`` has family, component and n_shingles of the same rows, without their sets. The largest component of a
+    family is compared with the other members only, and these with each other, in pairs of blocks of about ``block``
+    members and ``block_shingles`` shingles (16 bytes each). Within a task the likeliest pairs come first, and pairs that links found so far have
     joined already are left out, so what a task returns joins the same components as all its links would.
     """
     most = most_bits(similarity)
-    counts = rows.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / block).cast("int"))
-    sizes = sizes.select("family", F.pmod("family", F.lit(97)).alias("t"), F.col("m.component").alias("main"), blocks(F.col("m.n")).alias("mains"), blocks(F.col("all") - F.col("m.n")).alias("others"))
+    counts = sizes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = counts.groupBy("family").agg(F.max(F.struct("n", "component", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(w / block_shingles)).cast("int")
+    sizes = sizes.select("family", F.pmod("family", F.lit(97)).alias("t"), F.col("m.component").alias("main"), blocks(F.col("m.n"), F.col("m.w")).alias("mains"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("others"))
     own = rows.withColumn("t", F.pmod("family", F.lit(97))).join(sizes, ["family", "t"]).withColumn("is_main", F.col("component") == F.col("main"))
     own = own.withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
@@ -279,7 +288,7 @@ def within_families(rows: DataFrame, percent: int, similarity: float, block: int
     def run(table: pa.Table) -> pa.Table:
         kind, i, j = (table.column(c)[0].as_py() for c in ("kind", "i", "j"))
         main, k, rep, comp = (table.column(c).to_numpy() for c in ("is_main", "k", "rep", "component"))
-        bits, sets = _sketch_matrix(table.column("sketch")), [np.frombuffer(x.as_py(), np.uint64) for x in table.column("s")]
+        bits, sets = _sketch_matrix(table.column("sketch")), [_wide(x.as_py()) for x in table.column("s")]
         left, right = (np.flatnonzero(main), np.flatnonzero(~main)) if kind == 0 else (np.flatnonzero(k == i), np.flatnonzero(k == j))
         low = {c: c for c in comp.tolist()}
 
@@ -309,18 +318,21 @@ def within_families(rows: DataFrame, percent: int, similarity: float, block: int
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """id, n_shingles, component_id, kept of every row.
 
-    Words are runs of bytes other than blanks and 0x09-0x0D, with A-Z lower-cased; shorter texts are one shingle;
-    texts without words (null ones too) are linked with nothing. component_id is the smallest id reachable
-    over links of 100 * intersection >= percent * union; kept marks the row whose id that is. Rows that share an
-    id count as one document; rows with a null id link with nothing, have a null component and aren't kept.
-    A pair at the threshold shares none of the 32 bands with a probability of 5e-6, less above it.
+    Words are runs of bytes other than blanks and 0x09-0x0D, with A-Z lower-cased, and enter by 128-bit digests; links are
+    confirmed on all shingles, by 128 bits each. Texts of fewer words are one shingle; texts without words (null and
+    empty ones too) are linked with nothing. component_id is the smallest id reachable over links of
+    100 * intersection >= percent * union (a pair exactly at the bound links); kept marks the row whose id that is. Rows
+    that share an id count as one document; rows with a null id link with nothing, have a null component and
+    aren't kept. Very long texts are hashed piece by piece, ended at blanks. Other columns are ignored, whatever their
+    names; an empty table gives an empty table. A pair at the threshold shares none of the 32 bands with a probability of
+    5e-6, less above it.
     """
     similarity = percent / 100
     own = cut(profile(df, id_col, text_col))
     linked = own.where("key is not null and id is not null")
     # n_shingles follows from key: as a second join key it lets Spark deal (and split) both sides anew
     reps = cut(linked.groupBy("key").agg(F.min(F.struct("id", "rid", "n_shingles")).alias("m")).select("key", F.col("m.id").alias("rep"), "m.rid", "m.n_shingles"))
-    full = cut(linked.select("rid", "bands", "sketch").join(reps.select("rid", "rep"), "rid").select("rep", "bands", "sketch"))
+    full = cut(linked.select("rid", "bands", "sketch").join(reps.select("rid", "rep", "n_shingles"), "rid").select("rep", "n_shingles", "bands", "sketch"))
     rows = full.select("rep", F.explode("bands").alias("h"))
     rows = rows.withColumn("t", F.pmod("h", F.lit(97)))
     buckets = rows.groupBy("h").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("t", F.pmod("h", F.lit(97)))
@@ -335,8 +347,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = several.join(mixed, ["h", "t"]).join(full.select("rep", "sketch"), "rep").select("h", "rep", "component", "size", "sketch")
     family = cut(families(rest, similarity)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     members = family.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    members = members.join(full.select("rep", "sketch"), "rep").join(full_sets(df, family.select(F.col("rep").alias("id")), id_col, text_col).withColumnRenamed("id", "rep"), "rep")
-    late = cut(within_families(members, percent, similarity))
+    members = cut(members.join(full.select("rep", "n_shingles", "sketch"), "rep"))
+    sets = full_sets(df, family.select(F.col("rep").alias("id")), id_col, text_col).withColumnRenamed("id", "rep")
+    late = cut(within_families(members.drop("n_shingles").join(sets, "rep"), members.select("family", "component", "n_shingles"), percent, similarity))
     second = connected(_lifted(late, first))
     top = second.select(F.col("node").alias("component"), F.col("component").alias("top"))
     component = first.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))

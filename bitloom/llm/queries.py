@@ -45,41 +45,50 @@ edges AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 nodes AS (SELECT doc_id AS id FROM documents),{COMPONENTS}
 SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM comp LEFT JOIN n ON n.doc_id = id""",
     "op8_suffixes": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, (length(hex(encode(coalesce(text, '')))) // 2)::BIGINT AS n FROM documents),
-g AS (SELECT doc_id, unnest(range(n - 99)) AS i, h FROM d WHERE n >= 100),
-w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(h, 2 * i + 1, 200)) ORDER BY doc_id, i) > 1 AS later FROM g),
-b AS (SELECT doc_id, unnest(range(n)) AS p, h FROM d),
-t AS (SELECT doc_id, i, 1 AS k FROM w WHERE later UNION ALL SELECT doc_id, i + 100, -1 FROM w WHERE later),
-u AS (SELECT doc_id, i, sum(k) AS k FROM t GROUP BY 1, 2),
-m AS (SELECT b.doc_id, b.p, substr(b.h, 2 * b.p + 1, 2) AS x, sum(coalesce(u.k, 0)) OVER (PARTITION BY b.doc_id ORDER BY b.p) > 0 AS gone FROM b LEFT JOIN u ON u.doc_id = b.doc_id AND u.i = b.p),
-z AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS start FROM m),
-a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (start) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM z GROUP BY doc_id)
-SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a ON a.doc_id = d.doc_id""",
+c AS (SELECT doc_id, j, substr(h, 2 * j + 1, 998) AS h FROM (SELECT doc_id, h, unnest(range(0, n - 99, 400)) AS j FROM d WHERE n >= 100)),
+g AS MATERIALIZED (SELECT doc_id, i + j AS i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, j, unnest(range(least(400, length(h) // 2 - 99))) AS i FROM c)),
+w AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM g) WHERE nth > 1),
+t AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS new FROM w),
+u AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM t),
+s AS MATERIALIZED (SELECT doc_id, s, min(i) AS a, max(i) + 100 AS b FROM u GROUP BY doc_id, s),
+p AS (SELECT doc_id, b AS x, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
+q AS (SELECT p.doc_id, string_agg(substr(h, 2 * x + 1, 2 * (coalesce(y, n) - x)), '' ORDER BY x) AS kept FROM p JOIN d USING (doc_id) GROUP BY p.doc_id),
+r AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id)""",
     "op9_search": f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE {USABLE}),
 d AS (SELECT q.id AS query_id, c.id AS vec_id, sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.id % 100 = 0 AND c.id <> q.id AND len(q.x) = len(c.x))
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d) WHERE rank <= 10""",
 }
 
 
-
 def _secrets_sql() -> str:
-    """Offsets from the lengths of gaps and matches; RE2 has neither possessive quantifiers nor looking around."""
-    loose = "[A-Za-z0-9+/_-]{24,}={0,2}"
-    patterns = [secrets.ASSIGN, secrets.ACCESS, "[0-9a-f]{32,}", secrets.VENDOR.replace(",}+", ",}"), loose]
+    """Offsets from the lengths of gaps and matches; the patterns are stated anew, for RE2, which doesn't look around."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    run = "[A-Za-z0-9+/_-]"
+    patterns = [
+        rf"""(?:{words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        "AKIA[A-Z0-9]+",
+        "[0-9a-f]{32,}",
+        r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|-----BEGIN [A-Z ]*PRIVATE KEY-----",
+        run + "{24,}={0,2}",
+    ]
     quoted = ["'" + p.replace("'", "''") + "'" for p in patterns]
-    parts = " UNION ALL ".join(f"SELECT rid, doc_id, owner, {k} AS kind, string_split_regex(t, {q}) AS ps, regexp_extract_all(t, {q}) AS hs FROM d" for k, q in enumerate(quoted))
-    kinds = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(secrets.KINDS)) + " END"
+    parts = " UNION ALL ".join(f"SELECT rid, doc_id, owner, repo, {k} AS kind, string_split_regex(t, {q}) AS ps, regexp_extract_all(t, {q}) AS hs FROM d" for k, q in enumerate(quoted))
+    kinds = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(("assign", "access", "hex", "vendor", "generic"))) + " END"
     write = f"string_agg({kinds} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
-    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+    live = lambda v: f"(length({v}) >= 12 AND len(list_distinct(string_split({v}, ''))) >= least(8, length({v})) AND NOT regexp_matches({v}, '(?i)example|sample|changeme|placeholder|dummy|your[_-]|xxxx|0123456789|abcdef0123'))"
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(lang, '') AS repo, coalesce(text, '') AS t FROM documents),
 m AS ({parts}),
-u AS (SELECT rid, doc_id, owner, kind, hs[i] AS hit, (coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM m)),
+u AS (SELECT rid, doc_id, owner, repo, kind, hs[i] AS hit, (coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM m)),
 v AS (SELECT *, start + length(hit) AS stop, CASE WHEN kind = 0 THEN regexp_extract(hit, {quoted[0]}, 1) ELSE hit END AS value FROM u),
-f AS (SELECT * FROM v WHERE CASE kind WHEN 0 THEN length(value) >= 8 WHEN 1 THEN length(value) >= 16 WHEN 4 THEN regexp_matches(hit, '^[A-Za-z+/_-]{{0,80}}[0-9]') AND regexp_matches(hit, '^[0-9+/_-]{{0,80}}[A-Za-z]') ELSE true END),
+f AS (SELECT * FROM v WHERE CASE kind WHEN 0 THEN length(value) >= 8 WHEN 1 THEN length(value) >= 16 WHEN 4 THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') ELSE true END),
 c AS (SELECT * FROM f WHERE kind < 4 OR NOT EXISTS (SELECT 1 FROM f g WHERE g.rid = f.rid AND g.kind < 4 AND g.start < f.stop AND f.start < g.stop)),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
-s AS (SELECT c.*, owners, length(value) >= 12 AND len(list_distinct(string_split(value, ''))) >= least(8, length(value)) AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') AS live FROM c JOIN o USING (value) WHERE kind < 4 OR owners = 1),
-r AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {write} FILTER (kind < 3) AS base, {write} AS spans, count(*) AS n, count(*) FILTER (owners >= 3) AS copied, count(*) FILTER (owners = 1) AS owned, count(*) FILTER (owners = 1 AND live) AS live FROM s GROUP BY rid)
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM c GROUP BY value),
+s AS (SELECT c.*, owners, repos, {live('value')} AS live FROM c JOIN o USING (value) WHERE kind < 4 OR owners = 1),
+r AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, {write} FILTER (kind < 3) AS base, {write} AS spans, count(*) AS n, count(*) FILTER (owners >= 3 AND repos >= 4) AS copied, count(*) FILTER (owners = 1) AS owned, count(*) FILTER (owners = 1 AND live) AS live, count(*) FILTER (repos = 1) AS single, max(repos) AS most FROM s GROUP BY rid)
 SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-coalesce(n, 0)::BIGINT AS n_spans, coalesce(copied, 0)::BIGINT AS n_copied, coalesce(owned, 0)::BIGINT AS n_owned, coalesce(live, 0)::BIGINT AS n_live FROM d LEFT JOIN r USING (rid)"""
+coalesce(n, 0)::BIGINT AS n_spans, coalesce(copied, 0)::BIGINT AS n_copied, coalesce(owned, 0)::BIGINT AS n_owned, coalesce(live, 0)::BIGINT AS n_live, coalesce(single, 0)::BIGINT AS n_single, coalesce(most, 0)::BIGINT AS most_repos FROM d LEFT JOIN r USING (rid)"""
 
 
 ORACLE["op2_secrets"] = _secrets_sql()

@@ -18,29 +18,53 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import give_back, groups_of_bytes, load, slices, stored, utf8_bytes
-from .minhash import _BYTE, _powers, mix
+from .common import boxed, col, give_back, groups_of_bytes, load, slices, stored, utf8_bytes
+from .minhash import mix
 
 GRAM = 32
+_rnd = np.random.default_rng(20240607)
+_BYTE = _rnd.integers(0, 2**64, (2, 256), np.uint64)
+_BASE = (0x9E3779B97F4A7C13, 0xD1342543DE82EF95)  # odd
 _LAST = (1 << 63) - 1
 _LOW = np.uint64(0xFFFFFF)
 
 
+_POWERS: dict[int, tuple] = {}
+
+
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        both = []
+        for b in (base, pow(base, -1, 2**64)):
+            x = np.full(n, b, np.uint64)
+            x[0] = 1
+            both.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[base] = tuple(both)
+    up, down = _POWERS[base]
+    return up[:n], down[:n]
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = 100):
-    """Runs of strings with one anchor: text, first start in it, number of strings, anchor hash, content hash.
+    """Runs of strings with one anchor: text, first start in it, number of strings, anchor hash, two content hashes.
 
     Works on at most 2**24 bytes: the position is the low part of the keys whose minimum slides over the text.
     """
-    none = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
+    none = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64)]
     n, window = len(data), length - GRAM + 1
     if n < length:
         return none
     assert n <= int(_LOW)
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    h = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
+    totals, downs = [], []
+    for table, number in zip(_BYTE, _BASE):
+        up, down = _powers(n + 1, number)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(table[data] * up[:-1], out=total[1:])
+        totals.append(total)
+        downs.append(down)
+    h = mix((totals[0][GRAM:] - totals[0][:-GRAM]) * downs[0][: n - GRAM + 1])
     low = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while size < window:
@@ -56,12 +80,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = 100):
     first, last, anchor = at[new], at[np.concatenate([new[1:], [len(at)]]) - 1], anchor[new]
     text = np.searchsorted(offsets, first, "right") - 1
     shape = ((last - first).astype(np.uint64) << np.uint64(32)) | (anchor - first).astype(np.uint64)
-    content = mix((total[last + length] - total[first]) * down[first] + mix(shape))
-    return text, first - offsets[text], last - first + 1, h[anchor], content
+    content = [mix((total[last + length] - total[first]) * down[first] + mix(shape)) for total, down in zip(totals, downs)]
+    return text, first - offsets[text], last - first + 1, h[anchor], *content
 
 
 def _anchored(df: DataFrame, length: int) -> DataFrame:
-    """f, g, doc, rid, at, known: at packs a run's start and number of strings; known runs repeat one of their own batch."""
+    """f, g, e, doc, rid, at, known: at packs a run's start and number of strings; known runs repeat one of their own batch."""
 
     def run(batches):
         for batch in slices(batches, 1024):
@@ -70,20 +94,20 @@ def _anchored(df: DataFrame, length: int) -> DataFrame:
             found = []
             for i, j in groups_of_bytes(np.diff(offsets), 1 << 17):
                 for s, part, o in _pieces(data, offsets, i, j, length):
-                    text, start, n, f, g = runs(part, o, length)
-                    found.append((rid[i + text], doc[i + text], ((start + s) << 8) | n, f, g))
+                    text, start, n, f, g, e = runs(part, o, length)
+                    found.append((rid[i + text], doc[i + text], ((start + s) << 8) | n, f, g, e))
             if not found:
                 continue
-            r, d, at, f, g = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((at, r, d, g, f))
-            r, d, at, f, g = (x[order] for x in (r, d, at, f, g))
+            r, d, at, f, g, e = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((at, r, d, e, g, f))
+            r, d, at, f, g, e = (x[order] for x in (r, d, at, f, g, e))
             known = np.zeros(len(r), bool)
-            known[1:] = (f[1:] == f[:-1]) & (g[1:] == g[:-1])
+            known[1:] = (f[1:] == f[:-1]) & (g[1:] == g[:-1]) & (e[1:] == e[:-1])
             # they need no partner: dealt anywhere, so that a common passage makes no large group
             f = np.where(known, mix(mix(r.astype(np.uint64)) + at.astype(np.uint64)), f)
-            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array(d), pa.array(r), pa.array(at), pa.array(known)], names=["f", "g", "doc", "rid", "at", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array(e.view(np.int64)), pa.array(d), pa.array(r), pa.array(at), pa.array(known)], names=["f", "g", "e", "doc", "rid", "at", "known"])
 
-    return df.mapInArrow(run, "f long, g long, doc long, rid long, at long, known boolean")
+    return df.mapInArrow(run, "f long, g long, e long, doc long, rid long, at long, known boolean")
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, i: int, j: int, length: int, most: int = 1 << 20):
@@ -98,34 +122,34 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, i: int, j: int, length: int,
 
 
 def _judge(batches):
-    """Of rows sorted by f, g, doc, rid, at: runs that repeat an earlier equal one (ask false), and those to compare (ask true)."""
-    held, last_f, last_g = None, None, None  # held: the only run of its f so far
+    """Of rows sorted by f, g, e, doc, rid, at: runs that repeat an earlier equal one (ask false), and those to compare (ask true)."""
+    held, last = None, None  # held: the only run of its f so far; last: f, g and e of the row before
     for batch in batches:
-        known = np.asarray(batch.column(5).to_numpy(zero_copy_only=False))
-        cols = [np.asarray(batch.column(k)) for k in range(5)]
+        known = np.asarray(batch.column(6).to_numpy(zero_copy_only=False))
+        cols = [np.asarray(batch.column(k)) for k in range(6)]
         out = [[c[known] for c in cols], [c[:0] for c in cols]]
-        f, g, d, r, at = (c[~known] for c in cols)
-        if len(f):
-            new_f, new_g = np.ones(len(f), bool), np.ones(len(f), bool)
-            new_f[1:], new_g[1:] = f[1:] != f[:-1], g[1:] != g[:-1]
-            if last_f is not None:
-                new_f[0], new_g[0] = f[0] != last_f, g[0] != last_g
-            fresh = new_f | new_g
+        own = [c[~known] for c in cols]
+        if len(own[0]):
+            new = [np.ones(len(own[0]), bool) for _ in range(3)]
+            for k in range(3):
+                new[k][1:] = own[k][1:] != own[k][:-1]
+                if last is not None:
+                    new[k][0] = own[k][0] != last[k]
+            fresh = new[0] | new[1] | new[2]
             reps = np.flatnonzero(fresh)
-            ask = np.zeros(len(reps), bool)
-            head = new_f[reps]
-            ask |= ~head  # not the first of its f
+            head = new[0][reps]
+            ask = ~head  # not the first of its f
             ask[:-1] |= head[:-1] & ~head[1:]
-            out[0] = [np.concatenate([x, y[~fresh]]) for x, y in zip(out[0], (f, g, d, r, at))]
-            out[1] = [y[reps[ask]] for y in (f, g, d, r, at)]
+            out[0] = [np.concatenate([x, y[~fresh]]) for x, y in zip(out[0], own)]
+            out[1] = [y[reps[ask]] for y in own]
             if held is not None and len(reps):
                 if not head[0]:  # a second run of the held one's f
                     out[1] = [np.concatenate([[x], y]) for x, y in zip(held, out[1])]
                 held = None
             if len(reps) and head[-1]:
-                held = tuple(int(x[reps[-1]]) for x in (f, g, d, r, at))
-            last_f, last_g = f[-1], g[-1]
-        for ask_, (ff, _, dd, rr, aa) in enumerate(out):
+                held = tuple(int(x[reps[-1]]) for x in own)
+            last = tuple(own[k][-1] for k in range(3))
+        for ask_, (ff, _, _, dd, rr, aa) in enumerate(out):
             if len(ff):
                 yield pa.RecordBatch.from_arrays([pa.array(ff.astype(np.int64)), pa.array(dd.astype(np.int64)), pa.array(rr.astype(np.int64)), pa.array(aa.astype(np.int64)), pa.array(np.full(len(ff), bool(ask_)))], names=["f", "doc", "rid", "at", "ask"])
 
@@ -311,7 +335,7 @@ def _compared(asked: DataFrame, docs: DataFrame, length: int, chunk: int = 1_000
         give_back()
 
     lists = asked.groupBy("rid").agg(F.collect_list("at").alias("ats"), F.collect_list("f").alias("fs"))
-    segments = docs.join(lists, "rid").select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text", "ats", "fs", *[c for c in docs.columns if c.startswith("_keep_")]).mapInArrow(fetch, "f long, doc long, rid long, start long, seg binary")
+    segments = docs.join(lists, "rid").select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text", "ats", "fs", *[c for c in docs.columns if c == "box"]).mapInArrow(fetch, "f long, doc long, rid long, start long, seg binary")
     return segments.repartition("f").sortWithinPartitions("f").mapInArrow(sort, "rid long, start long, end long")
 
 
@@ -360,7 +384,7 @@ def _dealt_by_string(asked: DataFrame, docs: DataFrame, length: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(r[again]), pa.array(s[again]), pa.array(s[again] + length)], names=["rid", "start", "end"])
 
     lists = asked.groupBy("rid").agg(F.collect_list("at").alias("ats"))
-    strings = docs.join(lists, "rid").select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text", "ats", *[c for c in docs.columns if c.startswith("_keep_")])
+    strings = docs.join(lists, "rid").select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text", "ats", *[c for c in docs.columns if c == "box"])
     strings = strings.mapInArrow(fetch, "f long, g long, doc long, rid long, start long, known boolean")
     return strings.repartition("f").sortWithinPartitions("f", "g", "doc", "rid", "start").mapInArrow(settle, "rid long, start long, end long")
 
@@ -386,27 +410,34 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and the kept text, and the columns of ``keep``).
 
     Bytes under a string of ``length`` bytes that also starts earlier go; earlier is a smaller id (nulls last), for equal
-    ids the earlier row, in one row the earlier start. Strings are judged on the input, overlaps count, and matches
-    never cross rows. Null texts count as empty. ``with_text`` gives the remaining bytes as text, without
-    the bytes of characters that were cut in two.
+    ids the earlier row, in one row the earlier start, so ties are settled by place and of repeated rows the first
+    stays whole. Strings are judged on the input, overlaps count, and matches never cross rows. Null and empty texts
+    have no bytes and come back with zeros and the digest of nothing; an empty table gives an empty table. Texts of any
+    length go through in overlapping pieces. Rows are numbered once, in a stored table that all later steps read. ``with_text``
+    gives ``kept_text``, the remaining bytes without those of characters that were cut in two (null where the text was).
+    A column c of ``keep`` comes back as ``_keep_c``; on the way they are packed in one, so no name can clash.
     """
     keep = keep or []
+    box = [boxed(df, keep).alias("box")] if keep else []
+    docs = df.select(F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"), *box)
+    docs = stored(docs)
     # both joins below read all of these columns, so that Spark shuffles the texts once and reuses the exchange
-    docs = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    dealt = _anchored(docs.select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text"), length).repartition("f").sortWithinPartitions("f", "g", "doc", "rid", "at")
+    dealt = _anchored(docs.select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text"), length).repartition("f").sortWithinPartitions("f", "g", "e", "doc", "rid", "at")
     judged = stored(dealt.mapInArrow(_judge, "f long, doc long, rid long, at long, ask boolean"))
     equal = judged.where("not ask").select("rid", F.shiftright("at", 8).alias("start"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + (length - 1)).alias("end"))
     spans = equal.unionByName(_settled(judged.where("ask"), docs, length, hot_least, hot_most)).groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    fields = {f.name: f for f in df.schema}
-    schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    schema += "".join(f", `_keep_{c}` {fields[c].dataType.simpleString()}" for c in keep)
-    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *(f"_keep_{c}" for c in keep)]
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    schema = StructType.fromDDL(schema)
+    if keep:
+        schema = schema.add(docs.schema["box"])
+    names = schema.names
 
     def run(batches):
         for batch in slices(batches):
             rows = []
             for text, starts, ends in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                given = text.as_py()
+                raw = (given or "").encode("utf-8", "surrogatepass")
                 if starts:
                     mark = np.zeros(len(raw) + 1, np.int32)
                     np.add.at(mark, np.array(starts), 1)
@@ -417,13 +448,15 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 else:
                     spans_, kept = 0, raw
                 row = (len(raw), len(raw) - len(kept), spans_, hashlib.sha256(kept).hexdigest())
-                rows.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
+                rows.append((*row, None if given is None else kept.decode("utf-8", "ignore")) if with_text else row)
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * (4 + with_text), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *[batch.column(4 + k) for k in range(len(keep))]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *([batch.column(4)] if keep else [])], names=names)
 
-    joined = docs.join(spans, "rid", "left").select("id", "text", "starts", "ends", *[f"_keep_{c}" for c in keep])
-    return joined.mapInArrow(run, schema)
+    joined = docs.join(spans, "rid", "left").select("id", "text", "starts", "ends", *(["box"] if keep else []))
+    out = joined.mapInArrow(run, schema)
+    own = [F.col("id").alias(id_col), *[c for c in names[1:] if c != "box"]]
+    return out.select(*own, *[F.col(f"box.c{i}").alias(f"_keep_{c}") for i, c in enumerate(keep)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -91,6 +91,30 @@ def test_near_duplicates_empty(spark):
     assert found(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def thue_morse(first, second, n):
+    return "".join((first, second)[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    rows = [(1, thue_morse("a", "b", 1024)), (2, thue_morse("b", "a", 1024)), (3, thue_morse("a", "b", 4096)), (4, thue_morse("b", "a", 4096))]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == [(i, 1, i, True) for i in (1, 2, 3, 4)]
+    a, b = minhash.shingle_sets([rows[0][1], rows[1][1]], wide=True)
+    assert not minhash.similar(a, b, 75) and minhash.similar(a, a, 100)
+
+
+def test_links_need_both_halves_of_the_hashes():
+    x = np.stack([np.arange(8, dtype=np.uint64), np.arange(8, dtype=np.uint64)], 1)
+    y = x.copy()
+    y[:3, 1] += np.uint64(1)  # the first halves are equal
+    assert minhash.similar(x, x.copy(), 100) and not minhash.similar(x, y, 75)
+
+
+def test_families_bounded_by_shingles(spark, copies, monkeypatch):
+    whole = minhash.within_families
+    monkeypatch.setattr(minhash, "within_families", lambda *a: whole(*a, block=7, block_shingles=500))
+    assert found(spark.createDataFrame(copies, "doc_id long, text string")) == near_by_force(copies)
+
+
 def test_long_texts_in_pieces():
     texts = ["A few words " * 400 + "end", "x" * 3000 + " y z\tw v u", "", "  lead " * 300]
     for a, b in zip(minhash.shingle_sets(texts), minhash.shingle_sets(texts, piece=500)):

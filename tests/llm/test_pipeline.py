@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_groups import closure, shingles
 from test_spans import secret_base
 
@@ -116,3 +117,28 @@ def test_run(spark):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_leave_other_columns_alone(spark, rows):
+    """Names that the operators use themselves, with dots, and with backticks."""
+    names = ["gone", "_rid", "rid", "_all", "all", "a.b", "_keep_x", "x`y", "found", "box", "id", "owner", "key", "starts", "c0", "DOC"]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    columns = [c.split()[0] for c in COLUMNS.split(", ")]
+    more = docs.toDF(*columns).select(*columns, *[F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")).alias(n) for i, n in enumerate(names)])
+    more = spark.createDataFrame(more.collect(), more.schema).coalesce(1)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = (stage(spark, d, "") for d in (docs.coalesce(1), more))
+        assert wide.columns == more.columns, name
+        got = sorted((tuple(r) for r in wide.collect()), key=str)
+        assert sorted((r[: len(columns)] for r in got), key=str) == sorted((tuple(r) for r in plain.collect()), key=str), name
+        assert all(r[len(columns) :] == tuple(f"{i}:{r[0]}" for i in range(len(names))) for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, more, "").count() >= len(rows)
+
+
+def test_stages_with_null_ids_and_repeated_rows(spark, rows):
+    text = rows[20][1]
+    docs = spark.createDataFrame([(None, text, "en", "s1", 3), (None, None, "en", None, 0), (7, text, "en", "s1", 3), (7, text, "en", "s1", 3), (8, "", None, "s", 0)], COLUMNS).coalesce(1)
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, "")
+        assert out.count() == 5 and out.where("text is null").count() == 1, name
+        assert stage(spark, docs.limit(0), "").columns == docs.columns and stage(spark, docs.limit(0), "").count() == 0
