@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import col, slices
 
 
 def matrix(column) -> np.ndarray:
@@ -21,7 +21,7 @@ def matrix(column) -> np.ndarray:
 def usable(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> DataFrame:
     """rid, id, label, d, v (the doubles as bytes; null unless a finite vector that isn't zero), key (digest of v and label)."""
     schema = "rid long, id long, label string, d int, v binary, key binary"
-    label = F.col(label_col).cast("string") if label_col else F.lit("")
+    label = col(label_col).cast("string") if label_col else F.lit("")
 
     def run(batches):
         for batch in slices(batches, 2048):
@@ -37,7 +37,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = Non
                 keys.append(hashlib.blake2b(vs[-1] + lab.encode("utf-8", "surrogatepass"), digest_size=16).digest() if v is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(dims, pa.int32()), pa.array(vs, pa.binary()), pa.array(keys, pa.binary())], names=["rid", "id", "label", "d", "v", "key"])
 
-    return df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vec_col).cast("array<double>").alias("x")).mapInArrow(run, schema)
+    return df.select(F.monotonically_increasing_id().alias("rid"), col(id_col).cast("long").alias("id"), label.alias("label"), col(vec_col).cast("array<double>").alias("x")).mapInArrow(run, schema)
 
 
 def sample(rows: DataFrame, most: int, total: int) -> np.ndarray:

@@ -179,6 +179,12 @@ def test_near_vectors(spark, cells, block):
     assert max(n) > 50
 
 
+def test_near_vectors_of_one_id(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [1.0, 0.001], 1), (9, [0.0, 1.0], 1), (3, [0.001, 1.0], 1), (5, [1.0, 0.0], 2)]
+    got = neardup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(3, 2, 3, True), (5, 0, 5, True), (5, 1, 5, True), (5, 2, 3, False), (7, 1, 5, False), (9, 2, 3, False)]
+
+
 def by_force(rows, every, k=10):
     out = {}
     for q, x, _ in rows:
