@@ -64,32 +64,35 @@ class ByteNetwork:
             best.append(np.take_along_axis(r, at[:, None], 1)[:, 0])
         return np.concatenate(best, 1), where
 
+    def gradients(self, xs: np.ndarray, ys: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy; they flow to the bytes that won the pooling."""
+        f = self.f
+        pooled, where = self._pooled(xs)
+        h = np.maximum(pooled, 0)
+        z = h @ self.p["o"] + self.p["ob"]
+        q = np.exp(z - z.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        q[np.arange(len(ys)), ys] -= 1
+        q /= len(ys)
+        g = {"o": h.T @ q, "ob": q.sum(0), "e": np.zeros_like(self.p["e"])}
+        back = (q @ self.p["o"].T) * (pooled > 0)
+        for c, w in enumerate(WIDTHS):
+            gw = back[:, c * f : (c + 1) * f]
+            g[f"b{w}"], g[f"w{w}"] = gw.sum(0), np.zeros_like(self.p[f"w{w}"])
+            for j in range(w):
+                b = np.take_along_axis(xs, where[c] + j, 1)  # (n, f) bytes
+                g[f"w{w}"][j] = np.einsum("nfd,nf->df", self.p["e"][b], gw)
+                np.add.at(g["e"], b, gw[:, :, None] * self.p[f"w{w}"][j].T[None])
+        return g
+
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 96, rate: float = 0.01, seed: int = 11) -> "ByteNetwork":
-        """Adam on the cross-entropy; the gradient flows to the bytes that won the pooling."""
+        """Adam on the cross-entropy."""
         rnd = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
-        f = self.f
         for t in range(1, steps + 1):
             rows = rnd.integers(0, len(x), min(batch, len(x)))
-            xs, ys = x[rows], y[rows]
-            pooled, where = self._pooled(xs)
-            h = np.maximum(pooled, 0)
-            z = h @ self.p["o"] + self.p["ob"]
-            q = np.exp(z - z.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(ys)), ys] -= 1
-            q /= len(ys)
-            g = {"o": h.T @ q, "ob": q.sum(0), "e": np.zeros_like(self.p["e"])}
-            back = (q @ self.p["o"].T) * (pooled > 0)
-            for c, w in enumerate(WIDTHS):
-                gw = back[:, c * f : (c + 1) * f]
-                g[f"b{w}"], g[f"w{w}"] = gw.sum(0), np.zeros_like(self.p[f"w{w}"])
-                for j in range(w):
-                    b = np.take_along_axis(xs, where[c] + j, 1)  # (n, f) bytes
-                    emb = self.p["e"][b]  # (n, f, d)
-                    g[f"w{w}"][j] = np.einsum("nfd,nf->df", emb, gw)
-                    np.add.at(g["e"], b, gw[:, :, None] * self.p[f"w{w}"][j].T[None])
+            g = self.gradients(x[rows], y[rows])
             lr = rate * (1 - t / (steps + 1))
             for k in self.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]

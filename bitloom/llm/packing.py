@@ -2,9 +2,9 @@
 
 Every sequence obeys three limits at once: tokens, segments (pieces) and loss-bearing tokens. A
 document longer than a sequence gives full sequences of its own; what remains is placed by the
-dot-product heuristic: each item goes to the open bin whose free capacities, weighted by the load
-per dimension, have the largest scalar product with the item's demands. Bins that stay partly free are
-filled by cutting further pieces, and the very last rest is cut into power-of-two sequences, which need no padding.
+dot-product heuristic: a bin takes, of all items that fit, the one whose demands, weighted by the mean load
+per dimension, have the largest scalar product with the bin's free capacities, until none fits. Bins that stay partly free are
+filled by cutting further pieces, and what is left then is cut into power-of-two sequences, which need no padding.
 
 Each task packs its own rows in chunks of bounded size, so nothing is shuffled. Sequence ids are the
 partition's number times 2**40 plus a counter: they are the same when a lost task runs again.
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WordCache, give_back, load, slices
+from .common import WordCache, col, give_back, load, slices
 
 END_ID = 2
 
@@ -41,13 +41,13 @@ class Limits:
 class Packer:
     """Packs items (key, length, loss length) into bins; bins are returned as lists of (key, start, length)."""
 
-    def __init__(self, limits: Limits = Limits(), open_bins: int = 256):
+    def __init__(self, limits: Limits = Limits()):
         if min(limits.tokens, limits.segments, limits.loss) < 1 or limits.loss > limits.tokens:
             raise ValueError("limits must be positive, and loss at most tokens")
-        self.limits, self.open_bins = limits, open_bins
+        self.limits = limits
 
     def pack(self, lengths: np.ndarray, loss: np.ndarray) -> list[list[tuple[int, int, int]]]:
-        """Bins of (item, start, length). Items are cut only where they exceed a bin or fill the last bins.
+        """Bins of (item, start, length). Items are cut only where they exceed a bin's tokens or loss, or fill the last bins.
 
         loss gives the loss-bearing tokens of each item, which are its last ones.
         """
@@ -58,7 +58,7 @@ class Packer:
                 size = min(lim.tokens, n - start)
                 if self._loss(n, k, start, size) > lim.loss:
                     size = self._fitting(n, k, start, size, lim.loss)
-                if size == n - start and size < lim.tokens:
+                if size < lim.tokens:
                     rest.append((i, start, size, self._loss(n, k, start, size)))
                 else:
                     done.append([(i, start, size)])
@@ -75,34 +75,26 @@ class Packer:
         return min(size, max(0, n - k - start) + most)
 
     def _place(self, rest: list, lengths, loss) -> list:
-        lim = self.limits
-        cap = np.array([lim.tokens, lim.segments, lim.loss], float)
-        need = np.array([[s, 1, k] for _, _, s, k in rest], float).reshape(-1, 3) / cap
-        weight = need.mean(0) if len(need) else np.ones(3)
-        order = np.lexsort((np.arange(len(rest)), -(need * weight).sum(1))) if len(rest) else []
-        free, bins, closed = np.empty((self.open_bins, 3)), [], []
-        for j in order:
-            i, start, size, _ = rest[j]
-            at = -1
-            if bins:
-                f = free[: len(bins)]
-                fits = (f >= need[j] - 1e-12).all(1)
-                if fits.any():
-                    # the largest alignment of demand and what is free, relative to what is free: tight bins first
-                    score = np.where(fits, (f * weight) @ need[j] / np.maximum((f * f).sum(1), 1e-12), -1.0)
-                    at = int(score.argmax())
-            if at < 0:
-                if len(bins) == self.open_bins:  # close the fullest
-                    full = int(free[: len(bins), 0].argmin())
-                    closed.append(bins[full])
-                    bins[full], at = [], full
-                else:
-                    bins.append([])
-                    at = len(bins) - 1
-                free[at] = 1.0
-            bins[at].append((i, start, size))
-            free[at] -= need[j]
-        return self._fill(closed + bins, lengths, loss)
+        lim, bins = self.limits, []
+        need = np.array([[s, 1, k] for _, _, s, k in rest], float).reshape(-1, 3) / (lim.tokens, lim.segments, lim.loss)
+        weighted = need * (need.mean(0) if len(need) else 1)
+        order = np.lexsort((np.arange(len(rest)), -weighted.sum(1)))  # ties of the product go to the larger, then the earlier
+        need, weighted = need[order], weighted[order]
+        while len(order):
+            free, held, left = np.ones(3), [], np.ones(len(order), bool)
+            fit = np.arange(len(order))
+            while True:
+                fit = fit[(need[fit] <= free + 1e-12).all(1)]  # what doesn't fit now won't fit later
+                if not len(fit):
+                    break
+                at = int((weighted[fit] @ free).argmax())
+                j = int(fit[at])
+                held.append(rest[order[j]][:3])
+                free, left[j] = free - need[j], False
+                fit = np.delete(fit, at)
+            bins.append(held)
+            order, need, weighted = order[left], need[left], weighted[left]
+        return self._fill(bins, lengths, loss)
 
     def _fill(self, bins: list, lengths, loss) -> list:
         """Take the emptiest bins apart and cut their pieces to fill the others; power-of-two bins for the rest."""
@@ -117,17 +109,17 @@ class Packer:
             if at < low:
                 break
             tokens, parts, k = size_of(b), len(b), sum(map(of, b))
-            while tokens < lim.tokens and parts < lim.segments and k < lim.loss:
+            while tokens < lim.tokens and parts < lim.segments:
                 if not give:
                     if low >= at:
                         break
                     give, low = bins[low][::-1], low + 1
-                i, start, size = give.pop()
-                n, kk = int(lengths[i]), int(loss[i])
-                take = self._fitting(n, kk, start, min(size, lim.tokens - tokens), lim.loss - k)
-                if take <= 0:
-                    give.append((i, start, size))
+                fits = [self._fitting(int(lengths[i]), int(loss[i]), start, min(size, lim.tokens - tokens), lim.loss - k) for i, start, size in give]
+                at_ = max((x for x, t in enumerate(fits) if t > 0), default=None)  # a bin full of loss takes prompts alone
+                if at_ is None:
                     break
+                (i, start, size), take = give.pop(at_), fits[at_]
+                n, kk = int(lengths[i]), int(loss[i])
                 b.append((i, start, take))
                 tokens, parts, k = tokens + take, parts + 1, k + self._loss(n, kk, start, take)
                 if take < size:
@@ -229,20 +221,22 @@ def _tokenizer(path: str) -> Tokenizer:
     return _STATE[path]
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, chunk_tokens: int = 2_000_000, with_ids: bool = False, loss_col: str | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, chunk_tokens: int = 2_000_000, chunk_rows: int = 8000, with_ids: bool = False, loss_col: str | None = None, prompt_share: float = 0.0) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    A null text counts as empty and still has its end id. Documents are told apart by row, so repeated rows
-    and repeated ids are packed each for itself. ``loss_col`` gives how many of a document's
+    A null or empty text has its end id alone. Documents are told apart by row, so repeated rows
+    and repeated ids are packed each for itself; items of equal demands are placed in the order of their rows. Texts of any
+    length are encoded whole and cut. ``loss_col`` gives how many of a document's
     ids, its last ones with the end id, bear loss (below 0 counts as 0, more than there are as all, null as all);
-    without it all do. A task holds at most about ``chunk_tokens`` ids (or 500 documents) at a time. Other columns are
-    ignored.
+    without it all do but the first ``prompt_share`` of them (rounded down), which count as its prompt. A task holds at most
+    about ``chunk_tokens`` ids or ``chunk_rows`` documents, and a slice of 500 documents, at a time. Other columns are ignored, whatever their names; an empty table
+    gives an empty table.
     """
-    schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
+    schema = f"id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
 
     def flush(docs, ids, bearing, packer, base):
         lengths = np.array([len(x) for x in ids], np.int64)
-        loss = np.array([n if k is None else min(max(k, 0), n) for k, n in zip(bearing, lengths.tolist())], np.int64) if loss_col else lengths
+        loss = np.array([n if k is None else min(max(k, 0), n) for k, n in zip(bearing, lengths.tolist())], np.int64) if loss_col else lengths - np.floor(lengths * prompt_share).astype(np.int64)
         rows = []
         bins = packer.pack(lengths, loss)
         for s, b in enumerate(bins):
@@ -252,7 +246,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits()
                 row = (docs[i], start, n, zlib.crc32(raw), int(lengths[i]), base + s, offset)
                 rows.append((*row, raw.astype(np.int64)) if with_ids else row)
                 offset += n
-        names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names), len(bins)
 
@@ -266,7 +260,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits()
             if loss_col:
                 bearing += part.column(2).to_pylist()
             held += len(flat)
-            if held >= chunk_tokens:
+            if held >= chunk_tokens or len(docs) >= chunk_rows:
                 out, n = flush(docs, ids, bearing, packer, base)
                 yield out
                 base, docs, ids, bearing, held = base + n, [], [], [], 0
@@ -275,13 +269,17 @@ def pack_documents(df: DataFrame, tokenizer_path: str, limits: Limits = Limits()
         tokenizer.words.forget()
         give_back()
 
-    columns = [f"cast(`{id_col}` as long) as `{id_col}`", f"cast(`{text_col}` as string) as `{text_col}`"]
+    columns = [col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")]
     if loss_col:
-        columns.append(f"cast(`{loss_col}` as long) as _loss")
-    return df.selectExpr(*columns).mapInArrow(run, schema)
+        columns.append(col(loss_col).cast("long").alias("loss"))
+    return df.select(*columns).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+#: Instruction data: at most 32 examples and 3840 loss-bearing ids in a sequence; the first quarter of a document is its prompt.
+INSTRUCTION = {"limits": Limits(4096, 32, 3840), "prompt_share": 0.25}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), **INSTRUCTION)

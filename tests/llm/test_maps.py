@@ -170,3 +170,78 @@ def test_language_of_long_texts_in_pieces():
     texts = ["some words " * 200, "x", "é" * 333, None, "other words here " * 90]
     whole, parts = net.predict(texts), net.predict(texts, piece=640)
     assert [w[0] for w in whole] == [p[0] for p in parts] and np.allclose([w[1] for w in whole], [p[1] for p in parts])
+
+
+def test_each_limit_binds():
+    rnd = np.random.default_rng(2)
+    small, long = rnd.integers(2, 40, 600), rnd.integers(1500, 9000, 40)
+    n = np.concatenate([small, long, rnd.integers(50, 1500, 200)])
+    loss = n - np.floor(n * packing.INSTRUCTION["prompt_share"]).astype(np.int64)
+    p = packing.Packer(packing.INSTRUCTION["limits"])
+    bins = p.pack(n, loss)
+    tokens = [sum(k for *_, k in b) for b in bins]
+    bearing = [sum(p._loss(int(n[i]), int(loss[i]), s, k) for i, s, k in b) for b in bins]
+    assert max(tokens) == 4096 and max(map(len, bins)) == 32 and 3700 < max(bearing) <= 3840
+    assert all(t == 4096 or t & (t - 1) == 0 for t in tokens) and sum(tokens) == n.sum()
+    loose = packing.Packer(packing.Limits()).pack(n, loss)  # without the two limits, both are overstepped
+    assert max(map(len, loose)) > 32
+    assert max(sum(p._loss(int(n[i]), int(loss[i]), s, k) for i, s, k in b) for b in loose) == 4096
+    assert sum(t == 4096 for t in tokens) > 0.6 * n.sum() / 4096
+
+
+def test_dot_product_choice(monkeypatch):
+    """The placement against the heuristic written plainly, item by item."""
+    rnd = np.random.default_rng(4)
+    p = packing.Packer(packing.Limits(50, 6, 30))
+    monkeypatch.setattr(packing.Packer, "_fill", lambda self, bins, lengths, loss: bins)
+    for _ in range(30):
+        n = rnd.integers(1, 30, 60)
+        loss = np.minimum(n, rnd.integers(0, 30, 60))
+        need = [(a / 50, 1 / 6, k / 30) for a, k in zip(n.tolist(), loss.tolist())]
+        mean = [sum(x) / 60 for x in zip(*need)]
+        value = lambda i, free: sum(a * m * f for a, m, f in zip(need[i], mean, free))  # noqa: E731, B023
+        todo, want = set(range(60)), []
+        while todo:
+            free, held = (1.0, 1.0, 1.0), []
+            while fit := [i for i in todo if all(a <= f + 1e-12 for a, f in zip(need[i], free))]:
+                best = max(fit, key=lambda i: (round(value(i, free), 12), round(value(i, (1, 1, 1)), 12), -i))  # noqa: B023
+                held.append(best)
+                todo.remove(best)
+                free = tuple(f - a for a, f in zip(need[best], free))
+            want.append(held)
+        got = [[x[0] for x in b] for b in p.pack(n, loss)]
+        assert [sorted((n[i], loss[i]) for i in b) for b in got] == [sorted((n[i], loss[i]) for i in b) for b in want]
+
+
+def test_windows_of_whole_texts(spark):
+    text = "".join(f"{i:07d}|" for i in range(4000))
+    df = spark.createDataFrame([(i, text[:4096] if i % 2 else text, "en") for i in range(1, 40)], "doc_id long, text string, lang string")
+    got = {len(t): t for _, t, _ in language.training_rows(df)}
+    assert got[4096] == text[:4096] and len(got) == 2
+    pieces = got[8 * 512 + 7].split(" ")
+    assert [len(x) for x in pieces] == [512] * 8 and text.startswith(pieces[0]) and text.endswith(pieces[-1])
+
+
+def test_gradients_against_differences():
+    """What fit's Adam step uses as its gradient, against differences of the loss."""
+    rnd = np.random.default_rng(0)
+    x, y = rnd.integers(0, 256, (6, 20)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0])
+    net = language.ByteNetwork(["a", "b"], window=20, d=3, f=2)
+    grad = net.gradients(x, y)
+
+    def loss():
+        pooled, _ = net._pooled(x)
+        z = np.maximum(pooled, 0) @ net.p["o"] + net.p["ob"]
+        z -= z.max(1, keepdims=True)
+        return -np.mean((z - np.log(np.exp(z).sum(1, keepdims=True)))[np.arange(len(y)), y])
+
+    for k in net.p:
+        flat, g = net.p[k].reshape(-1), grad[k].reshape(-1)
+        for at in rnd.choice(len(flat), min(12, len(flat)), replace=False):
+            old, eps = flat[at], 1e-5
+            flat[at] = old + eps
+            up = loss()
+            flat[at] = old - eps
+            down = loss()
+            flat[at] = old
+            assert abs((up - down) / (2 * eps) - g[at]) < 1e-5, (k, at)
