@@ -7,7 +7,8 @@ crosses a unit and units are encoded one by one, each distinct unit once per cac
 Within a unit an Aho-Corasick automaton gives all pieces at all positions. The encoder takes the
 longest piece, checks it against the piece before by re-merging the two (the merge loop must give
 back exactly this pair), falls back to shorter pieces, and when none fits clears the position in a
-bitfield of positions from which no valid encoding continues and steps back one piece.
+bitfield of positions from which no valid encoding continues and steps back one piece. A pair fits if the merge
+loop over both pieces' characters gives back the pair: one heap of merges over linked parts.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordCache, load, slices
+from .common import WordCache, col, load, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -93,22 +95,34 @@ class PieceEncoder:
         for p, i in m.ids.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.pairs, self.known = pairs, {}
+        self.pairs, self.known, self.longest = pairs, {}, max(map(len, m.ids))
         self.n = len(m.pieces)
 
     def merged(self, text: str) -> list[str]:
         """The merge loop itself: always the adjacent pair of the best score, the leftmost of equals."""
-        parts, ids, scores = list(text), self.model.ids, self.model.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        ids, scores, n = self.model.ids, self.model.scores, len(text)
+        parts, before, after = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple] = []
+
+        def offer(i: int, j: int) -> None:
+            k = ids.get(parts[i] + parts[j])
+            if k is not None:
+                heappush(heap, (-scores[k], i, j, len(parts[i]) + len(parts[j])))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, size = heappop(heap)
+            if not parts[i] or not parts[j] or after[i] != j or len(parts[i]) + len(parts[j]) != size:
+                continue  # one of them has merged with another part since
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [p for p in parts if p]
 
     def fits(self, left: int, right: int) -> bool:
         key = left * self.n + right
@@ -121,75 +135,66 @@ class PieceEncoder:
             self.known[key] = ok
         return ok
 
-    def _run(self, text: str) -> list[int]:
-        """Encode characters that all are pieces by themselves."""
-        n = len(text)
-        at: list[list] = [[] for _ in range(n)]
-        for end, (size, i) in self.automaton.iter(text):
-            at[end - size + 1].append((size, i))  # shorter ones of a start end earlier: ascending sizes
-        live = (1 << (n + 1)) - 1  # bit p: an encoding may still continue from p
-        tokens: list[tuple[int, int, int]] = []  # (id, size, index in at[start])
-        pos, k = 0, len(at[0]) - 1
+    def _matches(self, text: str, start: int, size: int) -> list[list]:
+        """For each of the ``size`` positions from start, the pieces there as (size, id), by ascending size."""
+        at: list[list] = [[] for _ in range(min(size, len(text) - start))]
+        for end, (n, i) in self.automaton.iter(text, start, min(len(text), start + size + self.longest)):
+            if (first := end - n + 1 - start) < len(at):
+                at[first].append((n, i))  # shorter ones of a start end earlier
+        return at
+
+    def _run(self, text: str, block: int = 4096) -> list[int]:
+        """Encode characters that all are pieces by themselves.
+
+        Matches are held for blocks of positions, and found again if the search steps back into a block that was let
+        go; failed positions are bits of one number a block.
+        """
+        n, held, current, at = len(text), {}, -1, []
+        live = [(1 << block) - 1] * (n // block + 1)  # bit p: an encoding may still continue from p
+        tokens: list[tuple[int, int, int]] = []  # (id, size, index among the options of its start)
+        pos, k, last = 0, None, -1
         while pos < n:
-            last, options = (tokens[-1][0] if tokens else -1), at[pos]
+            b, p = divmod(pos, block)
+            if b != current:
+                if b not in held:
+                    held = {x: m for x, m in held.items() if abs(x - b) == 1}
+                    held[b] = self._matches(text, b * block, block)
+                current, at = b, held[b]
+            here = at[p]
+            if k is None:  # not been here by this way
+                k = len(here) - 1
             while k >= 0:
-                size, i = options[k]
-                if live >> (pos + size) & 1 and (last < 0 or self.fits(last, i)):
+                size, i = here[k]
+                end = pos + size
+                if live[end // block] >> (end % block) & 1 and (last < 0 or self.fits(last, i)):
                     break
                 k -= 1
             if k >= 0:
                 tokens.append((i, size, k))
-                pos += size
-                k = len(at[pos]) - 1 if pos < n else -1
+                pos, k, last = pos + size, None, i
             else:
-                live &= ~(1 << pos)
+                live[b] &= ~(1 << p)
                 if not tokens:
                     raise AssertionError("no encoding")
                 _, size, k = tokens.pop()
-                pos -= size
-                k -= 1
+                pos, k, last = pos - size, k - 1, tokens[-1][0] if tokens else -1
         return [t[0] for t in tokens]
 
     def unit(self, text: str) -> list[int]:
         chars = self.model.chars
         if chars.issuperset(text):
-            return self._blocks(text)
+            return self._run(text)
         out, start = [], 0
         for i, c in enumerate(text):
             if c not in chars:  # never part of a piece: its bytes
                 if i > start:
-                    out += self._blocks(text[start:i])
+                    out += self._run(text[start:i])
                 out += [self.model.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
                 start = i + 1
         if start < len(text):
-            out += self._blocks(text[start:])
+            out += self._run(text[start:])
         return out
 
-    def _blocks(self, text: str, most: int = 4096) -> list[int]:
-        """Encode characters that all are pieces; of very long units without the list of all matches."""
-        return self._run(text) if len(text) <= most else self._run_long(text)
-
-    def _run_long(self, text: str) -> list[int]:
-        """The same search with matches looked up on demand and a sparse set of failed positions."""
-        n, longest = len(text), max(map(len, self.model.ids))
-        ids, failed, tokens, pos, size = self.model.ids, set(), [], 0, longest
-        while pos < n:
-            last = tokens[-1][0] if tokens else -1
-            size = min(size, n - pos)
-            while size > 0:
-                i = ids.get(text[pos : pos + size])
-                if i is not None and pos + size not in failed and (last < 0 or self.fits(last, i)):
-                    break
-                size -= 1
-            if size > 0:
-                tokens.append((i, size))
-                pos, size = pos + size, longest
-            else:
-                failed.add(pos)
-                _, size = tokens.pop()
-                pos, size = pos - size, size - 1
-        return [t[0] for t in tokens]
-
     def units(self, text: str) -> list[str]:
         """Units without the first mark of each; an empty text has none."""
         if not text:
@@ -275,10 +280,12 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
     """Ids of every whole text (with an end id) and the text that they decode to, as counts and digests.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded themselves.
-    A null text counts as empty (the end id alone). One row comes out for each row that goes in, repeated
-    ones too; other columns are ignored. Nothing is shuffled; a task holds one Arrow batch and its cache.
+    A null or empty text has the end id alone. One row comes out for each row that goes in, repeated
+    ones too; of equal scores the leftmost pair merges, as in the library; units of any length go through the same search, a
+    block of matches at a time; other columns are ignored, whatever their names; an empty table gives an empty table.
+    Nothing is shuffled; a task holds one Arrow batch and its cache.
     """
-    schema = f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    schema = f"id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def run(batches):
         enc, cache = _state(model_path)
@@ -293,12 +300,12 @@ def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
                     decoded = decoded[1:]
                 row = (doc, ids.count(" ") + 1, sha(ids.encode()).hexdigest(), sha(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                 rows.append((*row, list(map(int, ids.split())), decoded) if with_ids else row)
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
+            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             cols = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return df.selectExpr(f"cast(`{id_col}` as long) as `{id_col}`", f"cast(`{text_col}` as string) as `{text_col}`").mapInArrow(run, schema)
+    return df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
