@@ -8,7 +8,7 @@ Within a unit an Aho-Corasick automaton gives all pieces at all positions. The e
 longest piece, checks it against the piece before by re-merging the two (the merge loop must give
 back exactly this pair), falls back to shorter pieces, and when none fits clears the position in a
 bitfield of positions from which no valid encoding continues and steps back one piece. A pair fits if the merge
-loop over both pieces' characters gives back the pair: one heap of merges over linked parts.
+loop over both pieces' characters gives back the pair.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -95,34 +94,27 @@ class PieceEncoder:
         for p, i in m.ids.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
+        order = {x: r for r, x in enumerate(sorted({m.scores[i] for i in m.ids.values()}), 1)}
+        self.ranks = {p: order[m.scores[i]] for p, i in m.ids.items()}  # the higher, the earlier a pair merges
         self.pairs, self.known, self.longest = pairs, {}, max(map(len, m.ids))
         self.n = len(m.pieces)
 
     def merged(self, text: str) -> list[str]:
-        """The merge loop itself: always the adjacent pair of the best score, the leftmost of equals."""
-        ids, scores, n = self.model.ids, self.model.scores, len(text)
-        parts, before, after = list(text), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple] = []
-
-        def offer(i: int, j: int) -> None:
-            k = ids.get(parts[i] + parts[j])
-            if k is not None:
-                heappush(heap, (-scores[k], i, j, len(parts[i]) + len(parts[j])))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, j, size = heappop(heap)
-            if not parts[i] or not parts[j] or after[i] != j or len(parts[i]) + len(parts[j]) != size:
-                continue  # one of them has merged with another part since
-            parts[i], parts[j] = parts[i] + parts[j], ""
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                offer(i, after[i])
-            if before[i] >= 0:
-                offer(before[i], i)
-        return [p for p in parts if p]
+        """The merge loop itself: always the adjacent pair of the best score, the leftmost of equals.
+
+        The scores of pairs stand beside the parts, so that a merge looks up no more than the two pairs it makes.
+        """
+        rank, parts = self.ranks.get, list(text)
+        pairs = [rank(a + b, 0) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)):
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], 0)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], 0)
+        return parts
 
     def fits(self, left: int, right: int) -> bool:
         key = left * self.n + right
@@ -137,10 +129,10 @@ class PieceEncoder:
 
     def _matches(self, text: str, start: int, size: int) -> list[list]:
         """For each of the ``size`` positions from start, the pieces there as (size, id), by ascending size."""
-        at: list[list] = [[] for _ in range(min(size, len(text) - start))]
-        for end, (n, i) in self.automaton.iter(text, start, min(len(text), start + size + self.longest)):
-            if (first := end - n + 1 - start) < len(at):
-                at[first].append((n, i))  # shorter ones of a start end earlier
+        stop = min(len(text), start + size + self.longest)
+        at: list[list] = [[] for _ in range(start, stop)]
+        for end, match in self.automaton.iter(text, start, stop):
+            at[end + 1 - start - match[0]].append(match)  # shorter ones of a start end earlier
         return at
 
     def _run(self, text: str, block: int = 4096) -> list[int]:
@@ -150,7 +142,7 @@ class PieceEncoder:
         go; failed positions are bits of one number a block.
         """
         n, held, current, at = len(text), {}, -1, []
-        live = [(1 << block) - 1] * (n // block + 1)  # bit p: an encoding may still continue from p
+        live = [(1 << min(block, n + 1)) - 1] * (n // block + 1)  # bit p: an encoding may still continue from p
         tokens: list[tuple[int, int, int]] = []  # (id, size, index among the options of its start)
         pos, k, last = 0, None, -1
         while pos < n:
