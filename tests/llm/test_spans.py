@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from bitloom.llm import pii, secrets
@@ -140,3 +141,47 @@ def test_pii_model_adds(spark):
     assert got[0].n_added >= 2 and "name:0:" in got[0].spans and got[100].n_phone == 1 and got[100].n_ip == 1
     assert model.reliability.shape == (4, 2, 3)
     assert pii.find(df.limit(0), pii.fit(df.limit(0))).collect() == []
+
+
+def test_em_recovers_reliabilities():
+    """Votes drawn from known labelers: the estimates come close, and the posteriors tell the classes apart."""
+    rnd = np.random.default_rng(3)
+    right = np.array([0.95, 0.8, 0.7, 0.6])  # of +1 on personal data and of -1 on the rest
+    truth = rnd.random(20_000) < 0.6
+    votes = np.where(rnd.random((20_000, 4)) < right, np.where(truth, 1, -1)[:, None], np.where(truth, -1, 1)[:, None])
+    counts, hits = {}, {}
+    for t, v in zip(truth, votes.tolist()):
+        code = pii.pattern_of((6, 0, 12, tuple(v)))
+        counts[code] = counts.get(code, 0) + 1
+        hits[code] = hits.get(code, 0) + int(t)
+    model = pii.SpanModel(counts)
+    assert np.abs(model.reliability[:, 1, 2] - right).max() < 0.05 and np.abs(model.reliability[:, 0, 0] - right).max() < 0.05
+    assert all(abs(model.posterior[c] - hits[c] / n) < 0.1 for c, n in counts.items() if n > 200)
+
+
+def test_planted_personal_data(spark):
+    """Of planted spans nine in ten are found at least, and plain texts are left alone."""
+    rnd = random.Random(9)
+    filler = "the river was green and the house over there stood empty while people walked along".split()
+    some = lambda n: " ".join(rnd.choice(filler) for _ in range(n))
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    make = {
+        "email": lambda: f"{rnd.choice(filler)}{digits(2)}@{rnd.choice(filler)}.org", "ip": lambda: ".".join(str(rnd.randrange(1, 255)) for _ in range(4)),
+        "phone": lambda: f"+1 555 {digits(3)} {digits(4)}", "local": lambda: f"call me at (5{digits(2)}) {rnd.randrange(2, 9)}{digits(2)}-{digits(4)}",
+        "name": lambda: f"{rnd.choice(['Dr', 'Mr', 'Mrs'])}. {rnd.choice(['Weber', 'Smith', 'Miller', 'Santos'])}", "number": lambda: f"ssn {rnd.randrange(1, 6)}{digits(2)}-{digits(2)}-{digits(4)}",
+        "address": lambda: f"write to {rnd.choice(filler)}{digits(2)} (at) {rnd.choice(filler)} (dot) com",
+    }
+    rows, kinds = [], list(make)
+    for i in range(700):
+        kind = kinds[i % 7]
+        rows.append((i, f"{some(12)} {make[kind]()} {some(12)}.", kind))
+    rows += [(1000 + i, f"{some(30)}. In {rnd.randrange(1900, 2024)} there were {digits(3)} of {digits(2)}-{digits(3)} parts.", None) for i in range(300)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    model = pii.fit(df, fit_spans=60)
+    got = {r.doc_id: r for r in pii.find(df, model).collect()}
+    for kind in kinds:
+        own = [i for i, _, k in rows if k == kind]
+        assert sum(f"{kind}:" in got[i].spans for i in own) >= 0.9 * len(own), kind
+    assert sum(got[i].n_private for i, _, k in rows if k is None) <= 3
+    again = pii.fit(df.repartition(3), fit_spans=60)
+    assert (again.weights == model.weights).all()
