@@ -75,25 +75,29 @@ class Packer:
         return min(size, max(0, n - k - start) + most)
 
     def _place(self, rest: list, lengths, loss) -> list:
+        """Every piece has one segment, so that dimension is a count, and adds the same to all products of a bin."""
         lim, bins = self.limits, []
-        need = np.array([[s, 1, k] for _, _, s, k in rest], float).reshape(-1, 3) / (lim.tokens, lim.segments, lim.loss)
-        weighted = need * (need.mean(0) if len(need) else 1)
-        order = np.lexsort((np.arange(len(rest)), -weighted.sum(1)))  # ties of the product go to the larger, then the earlier
-        need, weighted = need[order], weighted[order]
+        size, bear = (np.array([r[c] for r in rest], np.int64) for c in (2, 3))
+        if not rest:
+            return self._fill(bins, lengths, loss)
+        along, across = (x / cap * (x.mean() / cap) for x, cap in ((size, lim.tokens), (bear, lim.loss)))
+        order = np.lexsort((np.arange(len(rest)), -(along + across)))  # ties of the product go to the larger, then the earlier
+        size, bear, along, across = size[order], bear[order], along[order], across[order]
         while len(order):
-            free, held, left = np.ones(3), [], np.ones(len(order), bool)
-            fit = np.arange(len(order))
+            held, fit = [], np.arange(len(order))
+            tokens, segments, bearing = lim.tokens, lim.segments, lim.loss
+            j = 0  # of an empty bin, the first has the largest product
             while True:
-                fit = fit[(need[fit] <= free + 1e-12).all(1)]  # what doesn't fit now won't fit later
-                if not len(fit):
+                held.append(j)
+                tokens, segments, bearing = tokens - int(size[j]), segments - 1, bearing - int(bear[j])
+                fit = fit[(size[fit] <= tokens) & (bear[fit] <= bearing) & (fit != j)]  # what doesn't fit now won't fit later
+                if not segments or not len(fit):
                     break
-                at = int((weighted[fit] @ free).argmax())
-                j = int(fit[at])
-                held.append(rest[order[j]][:3])
-                free, left[j] = free - need[j], False
-                fit = np.delete(fit, at)
-            bins.append(held)
-            order, need, weighted = order[left], need[left], weighted[left]
+                j = int(fit[(along[fit] * (tokens / lim.tokens) + across[fit] * (bearing / lim.loss)).argmax()])
+            bins.append([rest[order[j]][:3] for j in held])
+            left = np.ones(len(order), bool)
+            left[held] = False
+            order, size, bear, along, across = order[left], size[left], bear[left], along[left], across[left]
         return self._fill(bins, lengths, loss)
 
     def _fill(self, bins: list, lengths, loss) -> list:
