@@ -73,7 +73,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns of the documents other than the id don't come back.
     """
     small_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), **packing.INSTRUCTION)
 
 
 STAGES = [("language", language_id), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("secrets", secret_scan), ("packing", pack)]
