@@ -217,8 +217,17 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("digest", _digest())
 
 
+def packed(counts: list[int]) -> bytes:
+    """Counts as compressed little-endian 32-bit numbers: most are 1 to 3, so little is left of them."""
+    return zstandard.compress(np.array(counts, "<u4").tobytes(), 3)
+
+
+def unpacked(kept: bytes) -> list[int]:
+    return np.frombuffer(zstandard.decompress(kept), "<u4").tolist()
+
+
 def trees(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, counts) of every row: the token counts of a text's parts as little-endian 32-bit numbers.
+    """(id, digest, counts) of every row: the token counts of a text's parts, ``packed``.
 
     This is what is kept of a document's tree: its parts follow from the text and the sums from the counts, so
     ``edited`` takes the tree up again without encoding. Null texts count as empty; repeated rows give equal trees.
@@ -227,7 +236,7 @@ def trees(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         count = _count(ranks_path)
         for batch in slices(batches):
-            kept = [np.array(count.all(parts_of(t.as_py())), "<u4").tobytes() for t in batch.column(1)]
+            kept = [packed(count.all(parts_of(t.as_py()))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kept, pa.binary())], names=["id", "digest", "counts"])
 
     return _texts(df, id_col, text_col).mapInArrow(run, "id long, digest long, counts binary")
@@ -262,13 +271,13 @@ def edited(df: DataFrame, kept: DataFrame, edits: DataFrame, ranks_path: str, id
                 text = zstandard.decompress(z).decode("utf-8", "surrogatepass")
                 if had is None:
                     raise ValueError(f"no tree is kept of the text of document {doc}")
-                tree = TokenTree(text, count, np.frombuffer(had, "<u4").tolist())
+                tree = TokenTree(text, count, unpacked(had))
                 before, n = tree.tokens, sum(map(len, tree.leaves))
                 for e in todo or []:
                     start = min(max(e["start"], 0), tree.chars)
                     tree.edit(start, min(max(e["end"], start), tree.chars), e["new"])
                 row = (doc, before, tree.tokens, n, tree.encoded)
-                rows.append((*row, tree.text, None, np.array(tree.part_counts(), "<u4").tobytes()) if with_trees else row)
+                rows.append((*row, tree.text, None, packed(tree.part_counts())) if with_trees else row)
             kinds = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
