@@ -209,8 +209,8 @@ def count_edited(df: DataFrame, ranks_path: str, edits=script, id_col: str = "do
 
 
 def _digest():
-    """Tells the texts of one id apart."""
-    return F.xxhash64("text", F.lit("tree"))
+    """Tells the texts of one id, and of no id, apart."""
+    return F.xxhash64("text", F.when(F.col("id").isNull(), "none").otherwise("tree"))
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -283,10 +283,13 @@ def edited(df: DataFrame, kept: DataFrame, edits: DataFrame, ranks_path: str, id
 
     known = edits.where("id is not null and start is not null and end is not null")
     lists = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", F.coalesce("new", F.lit("")).alias("new")))).alias("edits"))
-    # one tree for rows that are alike; it meets the edits first, so that texts move once
-    small = kept.dropDuplicates(["id", "digest"]).join(lists, "id", "left").withColumnsRenamed({"id": "tree_id", "digest": "tree_digest"})
-    texts = _texts(df, id_col, text_col).mapInArrow(pack, "id long, digest long, z binary")
-    rows = texts.join(small, F.col("id").eqNullSafe(F.col("tree_id")) & (F.col("digest") == F.col("tree_digest")), "left").select("id", "z", "counts", "edits")
+    # trees and texts each move once, by one key; edits, which are small, go to the keys of their id first
+    key = ["k", "digest"]
+    k = F.coalesce("id", F.lit(0)).alias("k")
+    own = kept.select("id", k, "digest", "counts")
+    due = own.where("id is not null").select("id", *key).distinct().join(lists, "id").select(*key, "edits")
+    texts = _texts(df, id_col, text_col).mapInArrow(pack, "id long, digest long, z binary").select("id", k, "digest", "z")
+    rows = texts.join(own.drop("id").dropDuplicates(key), key, "left").join(due, key, "left").select("id", "z", "counts", "edits")
     schema = "id long, n_tokens long, n_tokens_edited long, n_parts long, n_encoded long" + (", text string, digest long, counts binary" if with_trees else "")
     out = rows.mapInArrow(run, schema)
     if with_trees:
