@@ -205,20 +205,26 @@ def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     def run(batches):
         for batch in slices(batches):
             got = shingle_sets([zstandard.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(1).to_pylist()], wide=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.T.tobytes() for s in got], pa.binary())], names=["id", "s"])
 
     texts = df.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(pack, "id long, z binary")
     return texts.join(ids.select("id").distinct(), "id").select("id", "z").mapInArrow(run, "id long, s binary")
 
 
 def _wide(s: bytes) -> np.ndarray:
-    return np.frombuffer(s, np.uint64).reshape(-1, 2)
+    """(n, 2) from the bytes of ``full_sets``, which hold all first halves, then all second ones."""
+    return np.frombuffer(s, np.uint64).reshape(2, -1).T
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union of two sets of 128-bit hashes, sorted by their first halves."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
+    both = np.concatenate([x[:, 0], y[:, 0]])
+    both.sort()
+    most = int(np.count_nonzero(both[1:] == both[:-1]))  # the second halves can only make it less
+    if 100 * most < percent * (len(x) + len(y) - most):
+        return False
     _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
     inter = int(np.count_nonzero(x[i, 1] == y[j, 1]))
     return 100 * inter >= percent * (len(x) + len(y) - inter)
