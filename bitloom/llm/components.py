@@ -30,17 +30,33 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _contract(batches):
-    """Edges of one task become one edge (child, root) for each node that isn't a root."""
-    seen = [b for b in batches if b.num_rows]
-    if not seen:
-        return
-    a = np.concatenate([np.asarray(b.column(0)) for b in seen])
-    b = np.concatenate([np.asarray(b.column(1)) for b in seen])
+def _stars(a: np.ndarray, b: np.ndarray):
+    """One edge (child, root) for each node that isn't a root."""
     nodes, root = roots(a, b)
     keep = nodes != root
-    for s in range(0, int(keep.sum()), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep][s : s + 100_000]), pa.array(root[keep][s : s + 100_000])], names=["child", "parent"])
+    return nodes[keep], root[keep]
+
+
+def _contract(batches, most: int = 1_000_000):
+    """Edges of one task become stars; of more than ``most`` edges the stars so far are contracted, and sent on if still as many."""
+    a, b, held = [], [], 0
+
+    def out(child, parent):
+        for s in range(0, len(child), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(child[s : s + 100_000]), pa.array(parent[s : s + 100_000])], names=["child", "parent"])
+
+    for batch in batches:
+        a.append(np.asarray(batch.column(0)))
+        b.append(np.asarray(batch.column(1)))
+        held += batch.num_rows
+        if held > most:
+            child, parent = _stars(np.concatenate(a), np.concatenate(b))
+            if len(child) > most // 2:
+                yield from out(child, parent)
+                child, parent = child[:0], parent[:0]
+            a, b, held = [child], [parent], len(child)
+    if held:
+        yield from out(*_stars(np.concatenate(a), np.concatenate(b)))
 
 
 def connected(edges: DataFrame, rounds: int = 40, task_rows: int = 250_000) -> DataFrame:
