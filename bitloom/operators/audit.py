@@ -10,10 +10,36 @@ from ..plans.tables import running_sum
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., count, mean, std, min, p05, median, p95, p99, max): population deviation, linear percentiles; nulls are left out."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95, 0.99)]))
-    out = df.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.count(value).cast("long").alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), p.alias("p"), F.max(value).alias("max"))
-    return out.select(*(by or []), "count", "mean", "std", "min", *[F.col("p")[i].alias(n) for i, n in enumerate(("p05", "median", "p95", "p99"))], "max")
+    """(by..., count, mean, std, min, p05, median, p95, p99, max): population deviation, linear percentiles; nulls are left out.
+
+    Percentiles come from counts per distinct value and their running sums over range partitions, so no task holds the
+    values of a group; only four pairs of values a group are aggregated.
+    """
+    by, names = by or [], {"p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
+    totals = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).cast("long").alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    at = {n: (F.col("n") - 1) * F.lit(p) for n, p in names.items()}
+    held = lambda r: F.max(F.when((r >= F.col("to") - F.col("c")) & (r < F.col("to")), F.col(value).cast("double")))
+    ends = [held(f(x)).alias(f"_{k}_{n}") for n, x in at.items() for k, f in (("low", F.floor), ("high", F.ceil))]
+    found = _places(df, value, by).groupBy(*by).agg(F.max("n").alias("n"), *ends)
+    between = lambda n: F.when(F.floor(at[n]) == F.ceil(at[n]), F.col(f"_low_{n}")).otherwise((F.ceil(at[n]) - at[n]) * F.col(f"_low_{n}") + (at[n] - F.floor(at[n])) * F.col(f"_high_{n}"))
+    found = found.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], *[between(n).alias(n) for n in names])
+    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    found, same = (found, same) if by else (F.broadcast(found), F.lit(True))  # without groups it is one row
+    return totals.join(found, same, "left").select(*by, "count", "mean", "std", "min", *names, "max")
+
+
+def _places(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., value, c, to, n): each distinct value with its count, the number of its group's values up to it, and of all of them.
+
+    One running sum over all groups in a global order, so a group of any size is spread over range partitions.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    ranked = running_sum(counts, [F.col(c) for c in [*by, value]], F.col("c"), "to")
+    groups = ranked.groupBy(*by).agg(F.min(F.col("to") - F.col("c")).alias("_start"), F.sum("c").alias("n"))
+    groups = groups.withColumnsRenamed({b: f"_by{i}" for i, b in enumerate(by)})
+    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    groups, same = (groups, same) if by else (F.broadcast(groups), F.lit(True))  # without groups it is one row
+    return ranked.join(groups, same).select(*by, value, "c", (F.col("to") - F.col("_start")).alias("to"), "n")
 
 
 def totals_of(raw: str, size: str, paired: str) -> list[Column]:
@@ -115,14 +141,7 @@ def nearest_rank(df: DataFrame, value: str, shares: list[float], by: list[str] |
     The order is by value; where values tie, any of them is the same. Counting per distinct value keeps a hot value small.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    if by:
-        up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("to", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    else:
-        n = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        ranked = running_sum(counts, [F.col(value)], F.col("c"), "to").withColumn("n", F.lit(n))
-    each = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in shares])))
+    each = _places(df, value, by).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in shares])))
     at = F.rint((F.col("n") - 1) * F.col("p"))
     return each.where((at >= F.col("to") - F.col("c")) & (at < F.col("to"))).select(*by, "p", value)
 

@@ -81,7 +81,7 @@ def crop_groups(groups: DataFrame, x1: int, y1: int, x2: int, y2: int, width: in
 
 def flipped(pixels: DataFrame, image: str, columns: int, share: float = 0.5, seed: int = 42) -> DataFrame:
     """Images mirrored left to right, or not, by a hash of their id: the same in every run."""
-    chance = F.pmod(F.xxhash64(image, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(image).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
     return pixels.withColumn("x", F.when(chance, columns - 1 - F.col("x")).otherwise(F.col("x")).cast("int"))
 
 

@@ -606,7 +606,7 @@ def crop(spark, sf):
     return pixels.crop(grid(spark, sf), 2, 1, 7, 4)
 
 
-@query()
+@query(f"WITH {GRID_SQL} SELECT image, y, (CASE WHEN ('0x' || substr(md5(image || ':42'), 1, 8))::BIGINT < 2147483648 THEN 10 - x ELSE x END)::INT AS x, r, g, b FROM g")
 def flip_images(spark, sf):
     return pixels.flipped(grid(spark, sf), "image", 11)
 
@@ -939,7 +939,7 @@ def prediction_frame(spark, sf):
     return evaluate.predictions(e, "p", "label").select("vec_id", "prediction", "confidence", "p_true", "correct")
 
 
-@query()
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || ':42'), o_orderkey) AS nth FROM orders) WHERE nth <= greatest(1, floor((SELECT count(*) FROM orders) * 0.1::DOUBLE))")
 def random_rows(spark, sf):
     return sampling.random_rows(table(spark, sf, "orders"), "o_orderkey", 0.1)
 

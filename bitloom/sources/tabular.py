@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidConfig, NullValues
 from ..functions.text import with_extension
 from ..operators import preprocess
+from ..plans.tables import filled_forward
 from . import objects
 
 
@@ -32,7 +33,10 @@ def fill_nulls(df: DataFrame, strategy: str, value: float | None = None, order:
         row = df.agg(*[{"min": F.min, "max": F.max, "mean": F.avg}[strategy](c).alias(c) for c in numeric]).first()
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[c]).cast(types[c])) for c in numeric if row[c] is not None})
     if strategy in ("forward", "backward") and order:
-        w = Window.partitionBy(*(by or [])).orderBy(order)
+        if not by:
+            key = F.col(order).asc_nulls_first() if strategy == "forward" else F.col(order).desc_nulls_last()
+            return filled_forward(df, [key], [c for c in numeric if c != order]).select(*df.columns)
+        w = Window.partitionBy(*by).orderBy(order)
         w = w.rowsBetween(Window.unboundedPreceding, 0) if strategy == "forward" else w.rowsBetween(0, Window.unboundedFollowing)
         pick = F.last if strategy == "forward" else F.first
         return df.withColumns({c: pick(c, ignorenulls=True).over(w) for c in numeric if c != order})

@@ -11,6 +11,7 @@ from bitloom.functions import text as tx
 from bitloom.layout import BitLayout, Feature, bits_needed, parse_crop, parse_rows, position_bits, smallest_width
 from bitloom.operators import audit, bitstats, condensed, dictionary, encode, evaluate, features, pixels, preprocess, profile, sampling, select
 from bitloom.plans.tables import numbered, running_sum, with_previous
+from bitloom.sources import tabular
 
 
 def layout_of(bits, width=1):
@@ -383,3 +384,30 @@ def test_samples_and_texts(spark):
     assert [r[0] for r in names.select(tx.image_id(F.col("p"))).collect()] == ["img_1", "img_2", "img_3.PNG"]
     assert tx.with_extension("a", ".csv") == "a.csv" and tx.with_extension("a.CSV", ".csv") == "a.CSV"
     assert (tx.size_text(10), tx.size_text(2048), tx.duration_text(0.5), tx.duration_text(90)) == ("10 B", "2.00 KB", "500.0 ms", "1 min 30 s")
+
+
+def test_carried_over_partitions(spark):
+    rows = [(i, None if i % 3 else float(i), None if i < 5 or i % 7 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "i long, x double, y long").repartition(5)
+    for strategy, step in (("forward", 1), ("backward", -1)):
+        want, x, y = {}, None, None
+        for i, a, b in rows[::step]:
+            x, y = (x if a is None else a), (y if b is None else b)
+            want[i] = (i, x, y)
+        got = [tuple(r) for r in tabular.fill_nulls(df, strategy, order="i").orderBy("i").collect()]
+        assert got == [want[i] for i in range(60)]
+    before = {r.i: r.b for r in with_previous(df, ["i"], "y", "b").collect()}
+    assert before == {0: None} | {i: rows[i - 1][2] for i in range(1, 60)}
+
+
+def test_describe_groups(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(None if k == 2 else k, float(v)) for k, n in ((0, 1), (1, 400), (2, 37)) for v in rnd.integers(0, 90, n)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    for by in (["k"], []):
+        for r in audit.describe(df, "v", by).collect():
+            own = [v for k, v in rows if not by or k == r.k]
+            assert r["count"] == len(own) and np.allclose([r.p05, r.median, r.p95, r.p99], np.percentile(own, [5, 50, 95, 99]))
+        want = {(k if by else None, p): sorted(v for g, v in rows if not by or g == k)[round((sum(not by or g == k for g, _ in rows) - 1) * p)] for k in {k for k, _ in rows} for p in (0.1, 0.5)}
+        assert {(r.k if by else None, r.p): r.v for r in audit.nearest_rank(df, "v", [0.1, 0.5], by).collect()} == want
+    assert audit.describe(df.limit(0), "v", ["k"]).collect() == []
