@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig, OutOfRange
 
-LIMIT_U8, LIMIT_U16 = 255, 65535
+LIMIT_U8, LIMIT_U16, LIMIT_U32 = 255, 65535, (1 << 32) - 1
 
 
 def rank_delta(bases: DataFrame, group: str, value: str) -> DataFrame:
@@ -61,29 +61,39 @@ def largest_scale(a: np.ndarray, limit: int = LIMIT_U16, most: int = LIMIT_U16)
     return low
 
 
-def adaptive_scales(norm: DataFrame, group: str, limit: int = LIMIT_U16) -> DataFrame:
-    """(group, k, scale) by bisection for all groups at once: each of 17 rounds is an aggregation that is partial map-side.
+def adaptive_scales(norm: DataFrame, group: str, limits: tuple[int, ...] = (LIMIT_U16,)) -> DataFrame:
+    """(group, k, scale) by bisection for all groups at once: each round is an aggregation that is partial map-side.
 
-    No group is ever gathered in one task; the table of groups carries its bounds from round to round.
+    A group's limit is the first of ``limits``, ascending, that holds its ranks; more bases than the last one holds are an error.
+    With A the sum of delta_norm, every scale up to (limit - k + 1) / A fits and none from (limit + 1) / A on, so few
+    rounds remain. No group is ever gathered in one task; the table of groups carries its bounds from round to round.
     """
     from ..plans.tables import cut
 
     norm = cut(norm.select(group, "delta_norm"))
-    bounds = norm.groupBy(group).agg(F.count(F.lit(1)).cast("long").alias("k"))
-    bounds = cut(bounds.select(group, F.when(F.col("k") - 1 > limit, F.raise_error(F.lit("too many bases")).cast("long")).otherwise(F.col("k")).alias("k"), F.lit(0).cast("long").alias("low"), F.when(F.col("k") > 1, LIMIT_U16).otherwise(0).cast("long").alias("high")))
-    for _ in range(17):
+    k, a = F.col("k"), F.col("a")
+    limit = F.raise_error(F.lit("too many bases")).cast("long")
+    for most in reversed(limits):
+        limit = F.when(k - 1 <= most, F.lit(most).cast("long")).otherwise(limit)
+    bounds = norm.groupBy(group).agg(F.count(F.lit(1)).cast("long").alias("k"), F.sum("delta_norm").alias("a")).withColumn("limit", limit)
+    top = F.greatest("limit", F.lit(LIMIT_U16).cast("long"))
+    # a millionth more on either side than sums of doubles can be off
+    low = F.when(a > 0, F.least(top, F.greatest(F.lit(0).cast("long"), F.floor((F.col("limit") - k + 1) / a * (1 - 1e-6)) - 1))).otherwise(top)
+    high = F.when(a > 0, F.least(top, F.ceil((F.col("limit") + 1) / a * (1 + 1e-6)) + 1)).otherwise(top)
+    bounds = cut(bounds.select(group, "k", "limit", *[F.when(k > 1, x).otherwise(0).cast("long").alias(n) for x, n in ((low, "low"), (high, "high"))]))
+    for _ in range((bounds.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0).bit_length()):
         mid = F.floor((F.col("low") + F.col("high") + 1) / 2)
         tried = bounds.withColumn("mid", mid)
         sums = norm.join(tried.select(group, "mid"), group).groupBy(group).agg(F.sum(F.floor(F.col("mid") * F.col("delta_norm"))).alias("s"))
-        ok = F.col("k") - 1 + F.col("s") <= limit
-        bounds = cut(tried.join(sums, group).select(group, "k", F.when(ok, F.col("mid")).otherwise(F.col("low")).alias("low"), F.when(ok, F.col("high")).otherwise(F.greatest(F.col("low"), F.col("mid") - 1)).alias("high")))
+        ok = k - 1 + F.col("s") <= F.col("limit")
+        bounds = cut(tried.join(sums, group).select(group, "k", "limit", F.when(ok, F.col("mid")).otherwise(F.col("low")).alias("low"), F.when(ok, F.col("high")).otherwise(F.greatest(F.col("low"), F.col("mid") - 1)).alias("high")))
     return bounds.select(group, "k", F.col("low").alias("scale"))
 
 
-def adaptive(norm: DataFrame, group: str) -> DataFrame:
-    """norm with each group's largest scale and z = rank + running sum of floor(scale * delta_norm)."""
+def adaptive(norm: DataFrame, group: str, limits: tuple[int, ...] = (LIMIT_U16,)) -> DataFrame:
+    """norm with each group's largest scale and z = rank + running sum of floor(scale * delta_norm), up to its limit."""
     w = Window.partitionBy(group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    scaled = norm.join(adaptive_scales(norm, group).drop("k"), group)
+    scaled = norm.join(adaptive_scales(norm, group, limits).drop("k"), group)
     return scaled.withColumn("z", F.col("rank") + F.sum(F.floor(F.col("scale") * F.col("delta_norm")).cast("long")).over(w))
 
 
