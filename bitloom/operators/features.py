@@ -37,12 +37,12 @@ def quantize_unit(x: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("a value outside 0..1")).cast("int")).otherwise(F.round(255 * x).cast("int"))
 
 
-def cumulative(norm: DataFrame, group: str, scale: int, floor: bool = False) -> DataFrame:
-    """norm with z = rank + running sum of scale * delta_norm, each rounded (or floored); over 65535 is an error."""
+def cumulative(norm: DataFrame, group: str, scale: int, floor: bool = False, limit: int | None = LIMIT_U16) -> DataFrame:
+    """norm with z = rank + running sum of scale * delta_norm, each rounded (or floored); over ``limit`` is an error, if there is one."""
     w = Window.partitionBy(group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     x = F.col("delta_norm") * F.lit(float(scale))
     z = F.col("rank") + F.sum((F.floor(x) if floor else F.round(x)).cast("long")).over(w)
-    return norm.withColumn("z", F.when(z > LIMIT_U16, F.raise_error(F.lit("z over 65535")).cast("long")).otherwise(z))
+    return norm.withColumn("z", z if limit is None else F.when(z > limit, F.raise_error(F.lit(f"z over {limit}")).cast("long")).otherwise(z))
 
 
 def largest_scale(a: np.ndarray, limit: int = LIMIT_U16, most: int = LIMIT_U16) -> int:

@@ -45,3 +45,7 @@ def test_adaptive_of_more_bases_than_16_bits(spark, many_orders):
 
 def bases_of(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("value")).distinct()
+
+
+def test_cumulative_over_16_bits(spark, many_orders):
+    compared(spark, "cumulative_v2", many_orders, "orders")
