@@ -49,3 +49,19 @@ def bases_of(spark, sf):
 
 def test_cumulative_over_16_bits(spark, many_orders):
     compared(spark, "cumulative_v2", many_orders, "orders")
+
+
+@pytest.fixture(scope="module", params=[4_000, 1_000_000])
+def many_suppliers(request, spark, tmp_path_factory):
+    """3,000 lines of suppliers that need 16 bits, or 32 where the packed row would be wider than a word."""
+    sf = str(tmp_path_factory.mktemp("lines"))
+    n = F.col("id")
+    keys = [n.alias("l_orderkey"), (n % 200).alias("l_partkey"), (n * n * 37 % request.param).alias("l_suppkey"), (n % 7 + 1).cast("int").alias("l_linenumber")]
+    values = [(n * 31 % 50 + 1).cast("double").alias("l_quantity"), (n * 17 % 11 / 100).alias("l_discount"), (n * 13 % 9 / 100).alias("l_tax")]
+    spark.range(3_000).select(*keys, *values).write.parquet(f"{sf}/lineitem.parquet")
+    return sf
+
+
+@pytest.mark.parametrize("name", ["base_table", "delta_tiers_unary", "enforce_k_min", "row_assignment", "select_threshold", "base_deltas", "base_table_sorted", "delta_bitlen_hist", "delta_tiers_fixed", "size_model", "layout_states", "decode_roundtrip", "bit_pack"])
+def test_many_suppliers(spark, many_suppliers, name):
+    compared(spark, name, many_suppliers, "lineitem")
