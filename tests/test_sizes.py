@@ -62,6 +62,6 @@ def many_suppliers(request, spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["base_table", "delta_tiers_unary", "enforce_k_min", "row_assignment", "select_threshold", "base_deltas", "base_table_sorted", "delta_bitlen_hist", "delta_tiers_fixed", "size_model", "layout_states", "decode_roundtrip", "bit_pack", "bit_entropy", "bit_polarity", "bit_strings", "condensed_fixed"])
+@pytest.mark.parametrize("name", ["base_table", "delta_tiers_unary", "enforce_k_min", "row_assignment", "select_threshold", "base_deltas", "base_table_sorted", "delta_bitlen_hist", "delta_tiers_fixed", "size_model", "layout_states", "decode_roundtrip", "bit_pack", "bit_entropy", "bit_polarity", "bit_strings", "condensed_fixed", "encoded_size_normal"])
 def test_many_suppliers(spark, many_suppliers, name):
     compared(spark, name, many_suppliers, "lineitem")
