@@ -48,7 +48,12 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = 100):
-    """Runs of strings with one anchor: text, first start in it, number of strings, anchor hash, two content hashes.
+    """Runs of strings with one anchor: text, first start in it, number of strings, anchor hash, content hash."""
+    return hashed_runs(data, offsets, length)[:5]
+
+
+def hashed_runs(data: np.ndarray, offsets: np.ndarray, length: int = 100):
+    """runs() with a second, independent content hash behind the first.
 
     Works on at most 2**24 bytes: the position is the low part of the keys whose minimum slides over the text.
     """
@@ -85,7 +90,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = 100):
 
 
 def _anchored(df: DataFrame, length: int) -> DataFrame:
-    """f, g, e, doc, rid, at, known: at packs a run's start and number of strings; known runs repeat one of their own batch."""
+    """f, g, e, doc, rid, at, known: at packs a run's start and number of strings.
+
+    Known runs repeat one of their own batch and need no partner; those that follow each other in a text are one row,
+    with the number of its strings in g.
+    """
 
     def run(batches):
         for batch in slices(batches, 1024):
@@ -94,7 +103,7 @@ def _anchored(df: DataFrame, length: int) -> DataFrame:
             found = []
             for i, j in groups_of_bytes(np.diff(offsets), 1 << 17):
                 for s, part, o in _pieces(data, offsets, i, j, length):
-                    text, start, n, f, g, e = runs(part, o, length)
+                    text, start, n, f, g, e = hashed_runs(part, o, length)
                     found.append((rid[i + text], doc[i + text], ((start + s) << 8) | n, f, g, e))
             if not found:
                 continue
@@ -103,8 +112,18 @@ def _anchored(df: DataFrame, length: int) -> DataFrame:
             r, d, at, f, g, e = (x[order] for x in (r, d, at, f, g, e))
             known = np.zeros(len(r), bool)
             known[1:] = (f[1:] == f[:-1]) & (g[1:] == g[:-1]) & (e[1:] == e[:-1])
-            # they need no partner: dealt anywhere, so that a common passage makes no large group
-            f = np.where(known, mix(mix(r.astype(np.uint64)) + at.astype(np.uint64)), f)
+            if known.any():
+                mine = np.flatnonzero(known)
+                mine = mine[np.lexsort((at[mine], r[mine]))]
+                start, n = at[mine] >> 8, at[mine] & 255
+                new = np.flatnonzero(np.concatenate([[True], (r[mine][1:] != r[mine][:-1]) | (start[1:] != (start + n)[:-1])]))
+                strings, mine = np.add.reduceat(n, new), mine[new]
+                # dealt anywhere, so that a common passage makes no large group
+                spread = mix(mix(r[mine].astype(np.uint64)) + at[mine].astype(np.uint64))
+                own, zeros = ~known, np.zeros(len(mine), np.uint64)
+                f, g, e = (np.concatenate([x[own], y]) for x, y in ((f, spread), (g, strings.astype(np.uint64)), (e, zeros)))
+                r, d, at = (np.concatenate([x[own], x[mine]]) for x in (r, d, at))
+                known = np.arange(len(r)) >= np.count_nonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array(e.view(np.int64)), pa.array(d), pa.array(r), pa.array(at), pa.array(known)], names=["f", "g", "e", "doc", "rid", "at", "known"])
 
     return df.mapInArrow(run, "f long, g long, e long, doc long, rid long, at long, known boolean")
@@ -121,13 +140,16 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, i: int, j: int, length: int,
             yield s, part, np.array([0, len(part)], np.int64)
 
 
-def _judge(batches):
-    """Of rows sorted by f, g, e, doc, rid, at: runs that repeat an earlier equal one (ask false), and those to compare (ask true)."""
+def _judge(batches, length: int):
+    """Of rows sorted by f, g, e, doc, rid, at: runs that repeat an earlier equal one (ask false), and those to compare (ask true).
+
+    What repeats needs its bytes only: at is where they start then, f where they end, and doc 0.
+    """
     held, last = None, None  # held: the only run of its f so far; last: f, g and e of the row before
     for batch in batches:
         known = np.asarray(batch.column(6).to_numpy(zero_copy_only=False))
         cols = [np.asarray(batch.column(k)) for k in range(6)]
-        out = [[c[known] for c in cols], [c[:0] for c in cols]]
+        again, n, out = [c[known] for c in cols], cols[1][known], [c[:0] for c in cols]
         own = [c[~known] for c in cols]
         if len(own[0]):
             new = [np.ones(len(own[0]), bool) for _ in range(3)]
@@ -140,18 +162,20 @@ def _judge(batches):
             head = new[0][reps]
             ask = ~head  # not the first of its f
             ask[:-1] |= head[:-1] & ~head[1:]
-            out[0] = [np.concatenate([x, y[~fresh]]) for x, y in zip(out[0], own)]
-            out[1] = [y[reps[ask]] for y in own]
+            again = [np.concatenate([x, y[~fresh]]) for x, y in zip(again, own)]
+            n = np.concatenate([n, own[5][~fresh] & 255])
+            out = [y[reps[ask]] for y in own]
             if held is not None and len(reps):
                 if not head[0]:  # a second run of the held one's f
-                    out[1] = [np.concatenate([[x], y]) for x, y in zip(held, out[1])]
+                    out = [np.concatenate([[x], y]) for x, y in zip(held, out)]
                 held = None
             if len(reps) and head[-1]:
                 held = tuple(int(x[reps[-1]]) for x in own)
             last = tuple(own[k][-1] for k in range(3))
-        for ask_, (ff, _, _, dd, rr, aa) in enumerate(out):
-            if len(ff):
-                yield pa.RecordBatch.from_arrays([pa.array(ff.astype(np.int64)), pa.array(dd.astype(np.int64)), pa.array(rr.astype(np.int64)), pa.array(aa.astype(np.int64)), pa.array(np.full(len(ff), bool(ask_)))], names=["f", "doc", "rid", "at", "ask"])
+        start = again[5] >> 8
+        for ask_, found in ((False, (start + n + (length - 1), np.zeros(len(n)), again[4], start)), (True, (out[0], *out[3:]))):
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64)) for x in found], pa.array(np.full(len(found[0]), ask_))], names=["f", "doc", "rid", "at", "ask"])
 
 
 def _words(b: np.ndarray) -> np.ndarray:
@@ -423,8 +447,8 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = stored(docs)
     # both joins below read all of these columns, so that Spark shuffles the texts once and reuses the exchange
     dealt = _anchored(docs.select("rid", F.coalesce("id", F.lit(_LAST)).alias("doc"), "text"), length).repartition("f").sortWithinPartitions("f", "g", "e", "doc", "rid", "at")
-    judged = stored(dealt.mapInArrow(_judge, "f long, doc long, rid long, at long, ask boolean"))
-    equal = judged.where("not ask").select("rid", F.shiftright("at", 8).alias("start"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + (length - 1)).alias("end"))
+    judged = stored(dealt.mapInArrow(lambda batches: _judge(batches, length), "f long, doc long, rid long, at long, ask boolean"))
+    equal = judged.where("not ask").select("rid", F.col("at").alias("start"), F.col("f").alias("end"))
     spans = equal.unionByName(_settled(judged.where("ask"), docs, length, hot_least, hot_most)).groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
     schema = StructType.fromDDL(schema)

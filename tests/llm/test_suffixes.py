@@ -108,3 +108,15 @@ def test_empty_and_kept_text(spark, rows):
     got = {r[0]: r for r in suffixes.remove_repeated(df, keep=["source"], with_text=True).collect()}
     assert (got[1].n_removed, got[1].kept_text) == (118, "é")
     assert (got[2].n_removed, got[2].kept_text, got[2]._keep_source) == (122, "x", "q")
+
+
+def test_known_runs_that_follow_each_other_are_one_row(spark):
+    rnd = random.Random(7)
+    text = "".join(rnd.choice("abcdefghij ") for _ in range(3000))
+    df = spark.createDataFrame([(i, i, x) for i, x in enumerate([text, "x" + text + "y", text[500:2500]])], "rid long, doc long, text string").coalesce(1)
+    known = {r.rid: (r["at"] >> 8, r.g) for r in suffixes._anchored(df, 100).where("known").collect()}
+    count = suffixes._anchored(df, 100).where("known").count()
+    assert count == 2 and set(known) == {1, 2}  # a row for each copy, not one for each of its runs
+    assert all(n > 255 for _, n in known.values())
+    out = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.remove_repeated(df.withColumnRenamed("doc", "doc_id")).collect()}
+    assert out == {0: (0, 0), 1: (3000, 1), 2: (2000, 1)}
